@@ -2,11 +2,11 @@
 
 A report's set is the words of title and description together. Reports of one file name (the path's last component, case ignored) and
 one set are a class of copies. For each class ``bands`` x ``rows`` minima of universal hashes (odd multiplier, added constant, upper
-half) are taken over the set; the minima of a band, with the file name, are a bucket key. Classes of a bucket are candidates, which
-are compared on their whole sets of 32-bit word hashes. Records of a class, or of two similar classes, are linked if their lines are
+half) are taken over the set; the minima of a band, with the file name, are a bucket key. Classes of a bucket whose sketches (two bits
+of each of 64 minima) don't rule it out are candidates, which are compared on their whole sets of 32-bit word hashes. Records of a class, or of two similar classes, are linked if their lines are
 near: through bins of ``line_gap + 1`` lines, so a large group of copies is never paired as a whole.
 
-At the threshold of 0.7 a pair is missed with a probability of (1 - 0.7^3)^24, under 1 in 20,000, and far less above it.
+At the threshold of 0.7 a pair is missed with a probability of (1 - 0.7^3)^20, about 1 in 4,500, and far less above it.
 
 Defined results: a null or empty description, a null path or a null key take no part; a null title counts as empty; a line that is null
 or 0 is near to any; rows with one key are one record. Empty tables give no rows; other columns aren't read.
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from auditlake.llm.components import components
 from auditlake.session import checkpointed, spread
 
-THRESHOLD, LINE_GAP, BANDS, ROWS, SEED = 0.7, 8, 24, 3, 7919
+THRESHOLD, LINE_GAP, BANDS, ROWS, SKETCH, SEED = 0.7, 8, 20, 3, 64, 7919
 WORD = re.compile(r"[a-z0-9_]+")
 NO_LINE, ANY_LINE = -1, -2
 
@@ -47,17 +47,14 @@ def minima(flat: np.ndarray, starts: np.ndarray, family: tuple[np.ndarray, np.nd
     return out
 
 
-def signatures(df: DataFrame, key: str, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(k, line, cls, words array<int>, bands array<long>) of every report that takes part."""
+def word_sets(df: DataFrame, key: str) -> DataFrame:
+    """(k, line, cls, base, words array<int>) of every report that takes part: its class, file name hash and sorted word hashes."""
     kind = dict(df.dtypes)[key]
-    family = hash_family(bands * rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
         for b in batches:
-            if not b.num_rows:
-                continue
-            sets, classes, base_hash = [], [], []
+            sets, classes, bases = [], [], []
             for title, text, path in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist()):
                 if len(known) > 500_000:
                     known.clear()
@@ -69,47 +66,75 @@ def signatures(df: DataFrame, key: str, bands: int = BANDS, rows: int = ROWS) ->
                     own.append(h)
                 own = np.sort(np.array(own, np.uint64))
                 base = xxhash.xxh3_64_intdigest(re.split(r"[/\\]", path)[-1].lower())
-                sets.append(own)
-                base_hash.append(base)
+                sets.append((own >> np.uint64(32)).astype(np.uint32))
+                bases.append(base)
                 classes.append(xxhash.xxh3_64_intdigest(own.tobytes(), seed=base))
-            sizes = np.array([len(s) for s in sets], np.int64)
-            full = [s if len(s) else np.zeros(1, np.uint64) for s in sets]  # a text without a word: copies of it only
-            starts = np.r_[0, np.cumsum([len(s) for s in full])[:-1]].astype(np.int64)
-            low = minima(np.concatenate(full), starts, family)
-            keys = np.array(base_hash, np.uint64)[:, None].repeat(bands, 1)
-            mix = np.uint64(0x9E3779B97F4A7C15)
-            for r in range(rows):
-                keys = (keys ^ (low[:, r::rows].astype(np.uint64) + np.arange(bands, dtype=np.uint64) * np.uint64(1 << 33))) * mix
-                keys ^= keys >> np.uint64(29)
-            offsets = np.arange(0, (len(sets) + 1) * bands, bands, dtype=np.int32)
-            band_keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.astype(np.int64).ravel()))
-            w_off = np.r_[0, np.cumsum(sizes)].astype(np.int32)
-            flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
-            words = pa.ListArray.from_arrays(pa.array(w_off), pa.array((flat >> np.uint64(32)).astype(np.uint32).view(np.int32)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(classes, np.uint64).astype(np.int64)), words, band_keys], names=["k", "line", "cls", "words", "bands"])
+            offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            words = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*sets, np.zeros(0, np.uint32)]).view(np.int32)))
+            signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (classes, bases)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *signed, words], names=["k", "line", "cls", "base", "words"])
 
     part = df.where((F.length("description") > 0) & F.col("file_path").isNotNull() & F.col(key).isNotNull())
     cols = part.select(F.col(key).alias("k"), F.col("line_start").cast("int").alias("line"), "title", "description", "file_path")
-    return spread(cols).mapInArrow(run, f"k {kind}, line int, cls long, words array<int>, bands array<long>")
+    return spread(cols).mapInArrow(run, f"k {kind}, line int, cls long, base long, words array<int>")
 
 
-def similar_classes(sigs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(c1, c2), c1 < c2: the classes that share a bucket and whose sets reach the threshold."""
-    buckets = sigs.select("cls", F.explode("bands").alias("band")).distinct()
-    x, y = buckets.withColumnRenamed("cls", "c1"), buckets.withColumnRenamed("cls", "c2")
-    pairs = x.join(y, "band").where("c1 < c2").select("c1", "c2").distinct()
-    sets = sigs.groupBy("cls").agg(F.any_value("words").alias("w"))
-    both = pairs.join(sets.withColumnsRenamed({"cls": "c1", "w": "w1"}), "c1").join(sets.withColumnsRenamed({"cls": "c2", "w": "w2"}), "c2")
+def band_rows(sets: DataFrame, bands: int, rows: int) -> DataFrame:
+    """(band, cls, s0, s1): a bucket key of each band, and the sketch of the class: two bits of each of ``SKETCH`` minima."""
+    n = bands * rows
+    family = hash_family(max(n, SKETCH))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(2)
+            sizes = np.diff(np.asarray(lists.offsets))
+            full = sizes > 0  # a text without a word has no near-duplicate but its copies
+            if not full.any():
+                continue
+            flat = np.asarray(lists.flatten()).view(np.uint32).astype(np.uint64)
+            starts = np.r_[0, np.cumsum(sizes[full])[:-1]].astype(np.int64)
+            low = minima(flat * np.uint64(0x9E3779B97F4A7C15), starts, family)
+            base = np.asarray(b.column(1)).view(np.uint64)[full]
+            keys = base[:, None] + np.arange(bands, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)
+            for r in range(rows):
+                keys = (keys ^ low[:, r:n:rows].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+                keys ^= keys >> np.uint64(29)
+            two = (low[:, :SKETCH] & np.uint32(3)).astype(np.uint64)
+            half = SKETCH // 2
+            place = np.arange(half, dtype=np.uint64) * np.uint64(2)
+            cols = [(two[:, h * half : (h + 1) * half] << place).sum(1, dtype=np.uint64).view(np.int64) for h in (0, 1)]
+            cls = np.asarray(b.column(0))[full]
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()), *(pa.array(np.repeat(c, bands)) for c in (cls, *cols))], names=["band", "cls", "s0", "s1"])
+
+    return sets.select("cls", "base", "words").mapInArrow(run, "band long, cls long, s0 long, s1 long")
+
+
+def similar_classes(sets: DataFrame, threshold: float, bands: int, rows: int) -> DataFrame:
+    """(c1, c2), c1 < c2: the classes that share a bucket, whose sketches don't rule it out, and whose sets reach the threshold."""
+    buckets = band_rows(sets, bands, rows).repartition("band").distinct()
+    x = buckets.withColumnsRenamed({"cls": "c1", "s0": "x0", "s1": "x1"})
+    y = buckets.withColumnsRenamed({"cls": "c2", "s0": "y0", "s1": "y1"})
+    half = int("01" * (SKETCH // 2), 2)
+    differ = lambda i: f"bit_count((((x{i} ^ y{i}) | shiftrightunsigned(x{i} ^ y{i}, 1)) & {half}L))"
+    pairs = x.join(y, "band").where(f"c1 < c2 and {differ(0)} + {differ(1)} <= {most_differing(threshold)}").select("c1", "c2").distinct()
+    words = sets.groupBy("cls").agg(F.any_value("words").alias("w"))
+    both = pairs.join(words.withColumnsRenamed({"cls": "c1", "w": "w1"}), "c1").join(words.withColumnsRenamed({"cls": "c2", "w": "w2"}), "c2")
     common = F.size(F.array_intersect("w1", "w2"))
     # In whole numbers, so that a pair at the threshold isn't lost to rounding.
     near = common * 1000 >= (F.size("w1") + F.size("w2") - common) * round(threshold * 1000)
     return both.where(near).select("c1", "c2")
 
 
+def most_differing(threshold: float) -> int:
+    """Sketch fields in which a pair at the threshold differs at most, but for 3.2 standard deviations."""
+    p = (1 - threshold) * 3 / 4
+    return round(SKETCH * p + 3.2 * (SKETCH * p * (1 - p)) ** 0.5)
+
+
 def near_pairs(df: DataFrame, key: str = "arrival_seq", threshold: float = THRESHOLD, line_gap: int = LINE_GAP, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(a, b), a < b: every pair of records of one report."""
-    sigs = checkpointed(signatures(df, key, bands, rows))
-    similar = similar_classes(sigs, threshold)
+    sigs = checkpointed(word_sets(df, key))
+    similar = similar_classes(sigs, threshold, bands, rows)
     members = sigs.select("cls", "k", F.when(F.col("line") != 0, F.col("line")).alias("line")).distinct()
     copies = members.groupBy("cls").agg(F.min("k").alias("x"), F.max("k").alias("y")).where("x < y")
     links = similar.unionByName(copies.select(F.col("cls").alias("c1"), F.col("cls").alias("c2")))
