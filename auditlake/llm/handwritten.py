@@ -45,6 +45,8 @@ ATTRIBUTED = re.compile(r"(?i)taken from|@package|@homepage|part of [\w.-]+ |cop
 THIRD_PARTY = {"node_modules", "bower_components", "vendor", "third_party", "thirdparty", "third-party", "_vendor", "site-packages", "godeps", "external", "externals", "jspm_packages", "deps"}
 COMMENT_LINE = re.compile(r"\s*(?:#|//|/\*|\*|<!--|--|;|$)")
 LITERAL = re.compile(r"[A-Za-z0-9+/=]{60,}|(?:0x[0-9A-Fa-f]+|-?\d+(?:\.\d+)?)(?:\s*,\s*(?:0x[0-9A-Fa-f]+|-?\d+(?:\.\d+)?)){7,}")
+#: Words that code holds and data doesn't.
+CODE_WORD = re.compile(r"\b(?:def|class|return|import|from|function|func|if|else|for|while|public|private|void|interface|package|new|try|await)\b|=>|\(\w*\)")
 DIGITS = bytes.maketrans(b"123456789", b"000000000")
 
 
@@ -134,6 +136,12 @@ class Seen:
     shape: list[int]
 
 
+def data_only(body: str, literal: int) -> bool:
+    """Little but literals: long runs of encoded text or numbers, or hardly a word of code in a body of some length."""
+    n = len(body)
+    return n > 300 and literal > 0.6 * n or n > 700 and len(CODE_WORD.findall(body)) * 1000 < n
+
+
 def look(path: str, text: str, libs: Libraries) -> Seen:
     """The masked body, and the evidence beside it."""
     head, body = head_and_body(text)
@@ -169,6 +177,7 @@ def look(path: str, text: str, libs: Libraries) -> Seen:
         67 + (origin is not None),
         69 + third,
         71 + min(15, n.bit_length()),
+        87 + (data_only(body, literal)),
     ]
     return Seen(body, notice, origin, share, third, shape)
 
@@ -209,7 +218,7 @@ def labels(seen: Seen, path: str) -> np.ndarray:
     literal = sum(len(m.group()) for m in LITERAL.finditer(seen.body))
     script = bool(re.search(r"(?i)\.(?:js|jsx|ts|tsx)$", path))
     minified = script and n / len(lines) > 150 and blanks / n < 0.12 and literal / n < 0.5
-    return np.array([seen.notice, minified, literal / n > 0.6 and not seen.notice, seen.origin is not None], bool)
+    return np.array([seen.notice, minified, data_only(seen.body, literal) and not seen.notice, seen.origin is not None], bool)
 
 
 @dataclass
@@ -306,7 +315,7 @@ def judged(files: DataFrame, tasks: DataFrame, libs: DataFrame, train_rows: int
     share = min(1.0, train_rows / max(1, n))
     sample = code.where(F.pmod(F.xxhash64("review_id", "file_seq", F.lit("train")), F.lit(1_000_000)) < round(share * 1_000_000))
     rows = sample.join(repos, "review_id", "left").select("path", "content", "repo").limit(2 * train_rows).collect()
-    model = fit(sorted(tuple(r) for r in rows if r["content"]), known) if len(rows) < 2 else fit(sorted(((r["path"], r["content"], r["repo"] or "") for r in rows)), known)
+    model = fit(sorted((r["path"], r["content"], r["repo"] or "") for r in rows), known)
     shared = spark.sparkContext.broadcast((model, known))  # of a size fixed by the parameters
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import bpe, chunking, mixing, mojibake, neardup, neighbours
+from auditlake.llm import bpe, chunking, handwritten, mixing, mojibake, neardup, neighbours, secrets
 from auditlake.session import spread, table
 
 
@@ -21,6 +21,36 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_pieces(spark, sf_dir).where("piece_no = 0 and n_pieces > 1").select("review_id", "file_seq")
 
 
+def p2_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each file is that isn't hand-written."""
+    return handwritten.not_handwritten(table(spark, sf_dir, "code_files"), table(spark, sf_dir, "review_tasks"), table(spark, sf_dir, "known_libs"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files that aren't hand-written."""
+    return p2_kinds(spark, sf_dir).select("review_id", "file_seq").distinct()
+
+
+def _credential_sources(spark: SparkSession, sf_dir: str) -> list[tuple[str, DataFrame]]:
+    files, results = table(spark, sf_dir, "code_files"), table(spark, sf_dir, "agent_results")
+    return [
+        ("code_files", files.select("review_id", F.col("file_seq").cast("long").alias("record_seq"), F.col("content").alias("text"), "path")),
+        ("agent_results", results.select("review_id", F.col("arrival_seq").cast("long").alias("record_seq"), F.col("code_snippet").alias("text"), F.col("file_path").alias("path"))),
+    ]
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines on which a credential begins."""
+    parts = [secrets.find_lines(df, ["review_id", "record_seq"], "text", "path").select(F.lit(name).alias("record_table"), "review_id", "record_seq", "line_no") for name, df in _credential_sources(spark, sf_dir)]
+    return parts[0].unionByName(parts[1])
+
+
+def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts that hold credentials, masked."""
+    parts = [secrets.find_credentials(df, ["review_id", "record_seq"], "text", "path").select(F.lit(name).alias("record_table"), "review_id", "record_seq", "redacted").distinct() for name, df in _credential_sources(spark, sf_dir)]
+    return parts[0].unionByName(parts[1])
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pairs of records that report one defect again."""
     return neardup.near_pairs(table(spark, sf_dir, "agent_results")).select(F.col("a").alias("arrival_seq_a"), F.col("b").alias("arrival_seq_b"))
@@ -63,7 +93,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [p1_found, p1_pieces, p4_found, p4_groups, p6_found, p7_ids, p8_mix, p8_shares, p9_found, p9_repaired]
+    own = [p1_found, p1_pieces, p2_found, p2_kinds, p3_found, p3_redacted, p4_found, p4_groups, p6_found, p7_ids, p8_mix, p8_shares, p9_found, p9_repaired]
     return {f.__name__: f for f in own}
 
 
