@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import bpe, chunking, handwritten, mixing, mojibake, neardup, neighbours, secrets
+from auditlake.llm import bpe, chunking, handwritten, mixing, mojibake, neardup, neighbours, parsing, secrets
 from auditlake.session import spread, table
 
 
@@ -62,6 +62,21 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select(F.col("node").alias("arrival_seq"), F.col("component").alias("group_id"), "n_members")
 
 
+def p5_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files that don't parse, with the line of the furthest failure and its cause."""
+    return parsing.invalid_files(table(spark, sf_dir, "code_files"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files that don't parse."""
+    return p5_failures(spark, sf_dir).select("review_id", "file_seq").distinct()
+
+
+def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of files that don't parse, by repository and language."""
+    return parsing.rates(table(spark, sf_dir, "code_files"), handwritten.repos_of_reviews(table(spark, sf_dir, "review_tasks")))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pairs of which one is among the other's five most similar records."""
     return neighbours.nearest_pairs(table(spark, sf_dir, "semantic_memories"))
@@ -93,7 +108,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [p1_found, p1_pieces, p2_found, p2_kinds, p3_found, p3_redacted, p4_found, p4_groups, p6_found, p7_ids, p8_mix, p8_shares, p9_found, p9_repaired]
+    own = [p1_found, p1_pieces, p2_found, p2_kinds, p3_found, p3_redacted, p4_found, p4_groups, p5_found, p5_failures, p5_rates, p6_found, p7_ids, p8_mix, p8_shares, p9_found, p9_repaired]
     return {f.__name__: f for f in own}
 
 

@@ -73,6 +73,8 @@ TOLD = re.compile(r"(?i)\b(?:password|passwd|pwd|passphrase|secret|token|api.?ke
 TOLD_VALUE = re.compile(r"[^\s\"'`,;()<>:]{8,}")
 CONFIG = re.compile(r"(?i)\.(?:env|ini|properties|ya?ml|toml|cfg|conf|cnf|tf|tfvars|staging|production|local|dev|prod|txt|sh|bash)$|(?:^|[/\\])(?:dockerfile|\.env)[^/\\]*$|(?:^|[/\\])\.(?:env|npmrc|netrc|pgpass)[^/\\]*$")
 
+SETTING = re.compile(r"(?m)^[^\S\n]*(?:\d+ \| ?)?(?:(?:export |ENV |ARG |- )?[A-Za-z_][\w.\-]*\s?[=:][^(){};\n]*|[#;\[{}][^\n]*|\"[\w.\-]+\": [^\n]*|FROM \S+|[A-Z]+ [^(){};\n]*)$")
+BLANK = re.compile(r"(?m)^\s*$")
 WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 LAST = {"password", "passwd", "pwd", "pass", "passphrase", "passcode", "secret", "token", "pw", "apikey", "secretkey", "accesskey", "privatekey", "credential", "credentials", "auth", "psk", "pin", "jwt", "bearer", "userpass", "dbpass", "authtoken", "secrets"}
 KEY_OF = {"api", "secret", "private", "access", "encryption", "signing", "deploy", "service", "hmac", "account", "auth", "master", "storage", "ssh", "session", "webhook", "client", "shared", "license", "crypt", "crypto", "encrypt", "decrypt", "cipher", "aes", "rsa", "jwt", "admin", "root", "publishable", "subscription", "app", "application", "consumer", "security", "wallet", "signature", "sign", "integration", "write", "server"}
@@ -226,11 +228,17 @@ def _line(text: str, a: int, e: int, config: bool) -> list[tuple[int, int]]:
     return out
 
 
+def settings_text(text: str) -> bool:
+    """Most lines are settings without quotes or code around them, whatever the file is called."""
+    lines = text.count("\n") + 1 - len(BLANK.findall(text))
+    return len(SETTING.findall(text)) >= max(1, 0.7 * lines)
+
+
 def find_spans(text: str | None, path: str | None = None) -> list[tuple[int, int]]:
     """Sorted (begin, end) of the secret values of a text."""
     if not text:
         return []
-    config = bool(path and CONFIG.search(path))
+    config = bool(path and CONFIG.search(path)) or settings_text(text)
     out: list[tuple[int, int]] = []
     upto = -1
     for end, n in _auto.iter(text):
