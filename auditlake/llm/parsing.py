@@ -105,7 +105,7 @@ def _braced_failure(text: str, extension: str) -> int:
 
 def _python_failure(text: str) -> int:
     """The line of the failure: the first line that doesn't parse, or at which the structure breaks."""
-    text = text.removeprefix("﻿").replace("\r\n", "\n").replace("\r", "\n")
+    text = text.removeprefix("\ufeff").replace("\r\n", "\n").replace("\r", "\n")
     lo, hi = 1, text.count("\n") + 1
     source = text.split("\n")
     # The first line whose prefix holds a broken string or logical line.

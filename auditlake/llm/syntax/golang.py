@@ -94,7 +94,7 @@ LEX = re.compile(
     r"(//[^\n]*)"
     r"|(/\*[^*]*\*+(?:[^/*][^*]*\*+)*/)"
     r"|(\"(?:[^\"\\\n]|\\.)*\"|`[^`]*`|'(?:[^'\\\n]|\\[^\n][0-9a-fA-F]*)')"
-    r"|([A-Za-z_\u0080-￿][\w]*)"
+    r"|([A-Za-z_\u0080-\uffff][\w]*)"
     r"|((?:0[xX][0-9a-fA-F_]+(?:\.[0-9a-fA-F]*)?(?:p[+-]?\d+)?|0[bB][01_]+|0[oO][0-7_]+|(?:\d[\d_]*)?\.?\d[\d_]*\.?(?:[eE][+-]?\d+)?)i?(?![\w]))"
     r"|([ \t\r]+)"
     r"|(\d\w*)"
@@ -121,7 +121,7 @@ def tokens(text: str) -> str:
             return "\n" if "\n" in m.group() else " "
         return BAD
 
-    out = LEX.sub(one, text.removeprefix("﻿"))
+    out = LEX.sub(one, text.removeprefix("\ufeff"))
     out = TABLE.operator.sub(lambda m: TABLE.ops[m.group()], out).replace(" ", "") + "\n"
     return SEMICOLON.sub(";", out).replace("\n", "")
 

@@ -114,7 +114,7 @@ def language() -> Braced:
 LEX = re.compile(
     r"(//[^\n]*|/\*[^*]*\*+(?:[^/*][^*]*\*+)*/)"
     r"|(\"\"\"[ \t\f]*\r?\n(?:[^\"\\]|\\.|\"(?!\"\"))*\"\"\"|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\(?:u+[0-9a-fA-F]{4}|[0-7]{1,3}|.))')"
-    r"|([A-Za-z_$\u0080-￿][\w$]*)"
+    r"|([A-Za-z_$\u0080-\uffff][\w$]*)"
     r"|((?:0[xX][0-9a-fA-F_]+(?:\.[0-9a-fA-F]*)?(?:[pP][+-]?\d+)?|0[bB][01_]+|(?:\d[\d_]*)?\.?\d[\d_]*\.?(?:[eE][+-]?\d+)?)[lLfFdD]?(?![\w$]))"
     r"|(\s+)"
     r"|(\d[\w$]*)",
@@ -138,7 +138,7 @@ def tokens(text: str) -> str:
             return "n"
         return BAD
 
-    out = LEX.sub(one, text.removeprefix("﻿"))
+    out = LEX.sub(one, text.removeprefix("\ufeff"))
     if ">=" in out:
         out = re.sub(r">>>?=", "+=", out)
     return TABLE.operator.sub(lambda m: TABLE.ops[m.group()], out).replace(" ", "")

@@ -178,11 +178,11 @@ LEX = re.compile(
     r"(//[^\n]*)"  # 1 comment
     r"|(/\*[^*]*\*+(?:[^/*][^*]*\*+)*/)"  # 2 comment
     r"|(\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*')"  # 3 string
-    r"|([A-Za-z_$\u0080-￿][\w$]*|\\u[0-9a-fA-F]{4}[\w$]*)"  # 4 word
+    r"|([A-Za-z_$\u0080-\uffff][\w$]*|\\u[0-9a-fA-F]{4}[\w$]*)"  # 4 word
     r"|((?:0[xX][0-9a-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|(?:\d[\d_]*)?\.?\d[\d_]*(?:\.(?!\.))?(?:[eE][+-]?\d+)?)n?(?![\w$]))"  # 5 number
     r"|(`)"  # 6 template
     r"|((?<=[(,=:\[!&|?;+*%~^\n])[ \t]*/(?![*/])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*)"  # 7 regular expression
-    r"|([ \t\r\f\v ﻿]+)"  # 8 blank
+    r"|([ \t\r\f\v\u00a0\ufeff]+)"  # 8 blank
     r"|(\d[\w$]*)",  # 9 no number
     re.S,
 )

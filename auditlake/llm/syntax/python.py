@@ -389,7 +389,7 @@ def valid_structure(kinds: str) -> bool:
 def valid(text: str) -> bool:
     if "\0" in text:
         return False
-    text = text.removeprefix("﻿")
+    text = text.removeprefix("\ufeff")
     if "\r" in text:
         text = text.replace("\r\n", "\n").replace("\r", "\n")
     lines = logical_lines(tokens(text))
