@@ -1 +1,6 @@
+"""Named queries with their SQL."""
 
+from auditlake.plans import findings
+from auditlake.plans.base import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "findings"]
