@@ -17,8 +17,9 @@ LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 
 def lookup(key: Column, values: dict, default) -> Column:
-    """values[key], else the default."""
-    return reduce(lambda w, kv: w.when(key == kv[0], F.lit(kv[1])), list(values.items())[1:], F.when(key == next(iter(values)), F.lit(next(iter(values.values()))))).otherwise(F.lit(default))
+    """values[key], else the default; the key is evaluated once."""
+    table = F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
+    return F.coalesce(F.try_element_at(table, key), F.lit(default))
 
 
 def severity_weight(severity: Column) -> Column:
@@ -32,7 +33,7 @@ def in_domain(severity: Column) -> Column:
 
 def language_of(path: Column) -> Column:
     """By suffix, in any case; unknown for others and null."""
-    return F.coalesce(lookup(F.lower(F.regexp_extract(path, r"(\.[^./\\]+)$", 1)), LANGUAGES, "unknown"), F.lit("unknown"))
+    return lookup(F.lower(F.regexp_extract(path, r"(\.[^./\\]+)$", 1)), LANGUAGES, "unknown")
 
 
 def lines_of(text: Column) -> Column:

@@ -14,14 +14,11 @@ def import_edges(modules: DataFrame, imports: DataFrame) -> DataFrame:
 
     An import goes to the module of its name, else to the first module whose last segment is the import's, else to a new external node.
     """
-    own = imports.where(~F.substring_index("imported", ".", 1).isin(STANDARD))
+    own = imports.where(~F.substring_index("imported", ".", 1).isin(STANDARD)).withColumn("simple", F.substring_index("imported", ".", -1))
     src = modules.select("review_id", "file_seq", F.col("module").alias("src"))
-    exact = modules.select("review_id", F.col("module").alias("_m")).distinct()
-    simple = modules.groupBy("review_id", F.substring_index("module", ".", -1).alias("_s")).agg(F.min_by("module", "file_seq").alias("_f"))
-    x = own.join(src, ["review_id", "file_seq"])
-    x = x.join(exact, (x.review_id == exact.review_id) & (x.imported == exact["_m"]), "left").drop(exact.review_id)
-    x = x.withColumn("_s2", F.substring_index("imported", ".", -1))
-    x = x.join(simple, (x.review_id == simple.review_id) & (x["_s2"] == simple["_s"]), "left").drop(simple.review_id)
+    exact = modules.select("review_id", F.col("module").alias("imported")).distinct().withColumn("_m", F.col("imported"))
+    first = modules.groupBy("review_id", F.substring_index("module", ".", -1).alias("simple")).agg(F.min_by("module", "file_seq").alias("_f"))
+    x = own.join(src, ["review_id", "file_seq"]).join(exact, ["review_id", "imported"], "left").join(first, ["review_id", "simple"], "left")
     x = x.where(F.col("imported") != F.col("src"))
     kind = F.when(F.col("_m").isNotNull(), "exact").when(F.col("_f").isNotNull(), "simple").otherwise("external")
     return x.select("review_id", "src", F.coalesce("_m", "_f", "imported").alias("dst"), kind.alias("kind")).distinct()

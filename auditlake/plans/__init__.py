@@ -1,6 +1,6 @@
 """Named queries with their SQL."""
 
-from auditlake.plans import findings
+from auditlake.plans import findings, serving, streams, texts
 from auditlake.plans.base import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "findings"]
+__all__ = ["QUERIES", "SQL", "findings", "serving", "streams", "texts"]
