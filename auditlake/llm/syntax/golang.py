@@ -54,7 +54,7 @@ args <- '(' (arg (',' arg)* '...'? ','?)? ')'
 arg <- expr &(',' / ')' / '...') / type
 suffix <- '.' ('i' / '(' ('type' / type) ')') / '[' index ']' / args
 index <- expr? ':' expr? (':' expr)? / (expr &(',' / ']') / type) (',' (expr &(',' / ']') / type))* ','?
-lit <- (el (',' ';'? el)* ','? )? ';'? EOF
+lit <- (el (',' el)* ','?)? EOF
 el <- (val ':')? val
 val <- expr / LIT
 exprs <- expr (',' expr)*

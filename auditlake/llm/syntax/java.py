@@ -61,7 +61,7 @@ catch <- 'catch' '(' (annotation / 'final')* type ('|' type)* id ')' BLOCK
 cases <- (label ':' (!(label (':' / '->')) stmt)* / label '->' (BLOCK / 'throw' expr ';' / expr ';'))* EOF
 label <- 'case' caseitem (',' caseitem)* ('when' ternary)? / 'default'
 caseitem <- 'default' / pattern &('->' / ':' / ',' / 'when') / ternary
-pattern <- 'final'? type ('(' (pattern (',' pattern)*)? ')' id? / id)
+pattern <- 'final'? type ('(' (pattern (',' pattern)*)? ')' (!'when' id)? / !'when' id / 'when' &('when' / '->' / ':'))
 expr <- lambda / ternary (ASGOP expr)?
 lambda <- (id / '(' (lparam (',' lparam)*)? ')') '->' (BLOCK / expr)
 lparam <- (annotation / 'final')* type '...'? id dims / id

@@ -117,7 +117,8 @@ types <- (tmember (',' / ';' / NL / EOF))* EOF
 tmember <- (('+' / '-')? 'readonly')? '[' id 'in' type ('as' type)? ']' (('+' / '-')? '?')? ann? / 'readonly'? '[' id ':' type ']' ann / 'new'? tparams? params rett? / (('get' / 'set') !('(' / '?' / ':'))? propkey '?'? tparams? params rett? / ('readonly' !('?' / ':' / '('))? propkey '?'? ann?
 enum <- (WORD1 ('=' assign)? (',' WORD1 ('=' assign)?)* ','?)? EOF
 WORD1 <- WORD / 'S' / '[' 'S' ']'
-tsdecl <- 'declare' (vardeclare eos / tsdecl / funcdecl / classdecl / 'global' BLOCK) / 'interface' !NL id tparams? ('extends' type (',' type)*)? TYPES / 'type' !NL id tparams? '=' type eos / 'const'? 'enum' id ENUM / ('namespace' / 'module') !NL (qname / 'S') (BLOCK / eos) / 'global' BLOCK
+tsdecl <- 'declare' (vardeclare eos / ('namespace' / 'module') !NL (qname / 'S') (AMBIENT / eos) / 'global' AMBIENT / tsdecl / funcdecl / classdecl) / 'interface' !NL id tparams? ('extends' type (',' type)*)? TYPES / 'type' !NL id tparams? '=' type eos / 'const'? 'enum' id ENUM / ('namespace' / 'module') !NL (qname / 'S') (BLOCK / eos) / 'global' BLOCK
+ambient <- ('export'? vardeclare eos / stmt)* EOF
 vardeclare <- ('const' / 'let' / 'var') id ann? (',' id ann?)*
 tssuffix <- !NL '!' !'=' / targs &('(' / '`' / '.' / ')' / ',' / ';' / EOF) / !NL ('as' / 'satisfies') ('const' / type)
 tsimport <- 'import' 'type'? id '=' ('require' '(' 'S' ')' / qname) eos
@@ -140,11 +141,11 @@ child <- jsx / EXPRB / TEXT+
 NO_JSX = "jsx <- !ANY ANY"
 ANGLE = "jsx <- '<' type '>' unary"
 
-KINDS = {"BLOCK": "stmts", "OBJ": "obj", "PAT": "pat", "CLASSBODY": "classbody", "CASES": "cases", "NAMES": "names", "TYPES": "types", "ENUM": "enum", "EXPRB": "braced", "TYPEB": "typeonly"}
+KINDS = {"BLOCK": "stmts", "OBJ": "obj", "PAT": "pat", "CLASSBODY": "classbody", "CASES": "cases", "NAMES": "names", "TYPES": "types", "ENUM": "enum", "EXPRB": "braced", "TYPEB": "typeonly", "AMBIENT": "ambient"}
 
 
 def _grammar(ts: bool, jsx: bool) -> Braced:
-    text = SHARED + (TYPES if ts else PLAIN + "typeonly <- !ANY ANY\n") + (JSX if jsx else ANGLE if ts else NO_JSX)
+    text = SHARED + (TYPES if ts else PLAIN + "typeonly <- !ANY ANY\nambient <- !ANY ANY\n") + (JSX if jsx else ANGLE if ts else NO_JSX)
     text = text.replace("OBJSTMT <- OBJ\n", "").replace("!OBJONLY ", "")
     text = text.replace("~pmods <- ''*", "~pmods <- ('\x02')*")
     if ts:

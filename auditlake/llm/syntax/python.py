@@ -71,7 +71,7 @@ while <- 'while' named ':' body
 try <- 'try' ':' body
 except <- 'except' ('*'? expr ('as' id)?)? ':' body
 finally <- 'finally' ':' body
-with <- 'async'? 'with' ('(' withitem (',' withitem)* ','? ')' / withitem (',' withitem)*) ':' body
+with <- 'async'? 'with' ('(' withitem (',' withitem)* ','? ')' &':' / withitem (',' withitem)*) ':' body
 withitem <- expr ('as' startarget)?
 def <- 'async'? 'def' id tparams? '(' params? ')' ('->' expr)? ':' body
 tparams <- '[' tparam (',' tparam)* ','? ']'
