@@ -15,10 +15,11 @@ TERMINAL = ["completed", "failed"]
 TTL_MS = 3_600_000
 
 
-def monotone_stream(progress: DataFrame) -> DataFrame:
+def monotone_stream(progress: DataFrame, ttl_ms: int | None = TTL_MS) -> DataFrame:
     """(task_id, ts, progress, stage, status, error): an event only when the progress grows, until and with the first terminal one; errors are carried on.
 
-    State per task: the highest progress, the last error, whether it has ended.
+    State per task: the highest progress, the last error, whether it has ended. It is dropped after ``ttl_ms`` without news; with such a
+    timer a query always has a next batch, so one that shall end (``availableNow``) takes None.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -36,10 +37,11 @@ def monotone_stream(progress: DataFrame) -> DataFrame:
                 best = max(best, row.progress)
                 out.append((key[0], row.ts, row.progress, row.stage, row.status, error))
         state.update((best, error, ended))
-        state.setTimeoutDuration(TTL_MS)
+        if ttl_ms:
+            state.setTimeoutDuration(ttl_ms)
         yield pd.DataFrame(out, columns=["task_id", "ts", "progress", "stage", "status", "error"])
 
-    return progress.groupBy("task_id").applyInPandasWithState(step, PROGRESS, "best double, error string, ended boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return progress.groupBy("task_id").applyInPandasWithState(step, PROGRESS, "best double, error string, ended boolean", "append", GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout)
 
 
 def last_progress(df: DataFrame, task: str, seq: str, cols: list[str]) -> DataFrame:
