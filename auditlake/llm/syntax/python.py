@@ -131,8 +131,8 @@ LEX = re.compile(
     r"|([^\W\d]\w*)",
     re.S,
 )
-#: What may hide the opening of a string, and the opening.
-SPECIAL = re.compile(rf"#[^\n]*|({_PREFIX}(?:\"\"\"|'''|\"|'))|[^\W\d]\w*")
+#: Comments and whole strings, which may hide an opening; and the opening of an f-string, or of a string without end.
+SPECIAL = re.compile(rf"#[^\n]*|(?<!\w){_STRING}|(?<!\w)({_PREFIX}(?:\"\"\"|'''|\"|'))", re.S)
 OPENING = re.compile(rf"{_PREFIX}(?:\"\"\"|'''|\"|')")
 BODY = {q: re.compile(rf"(?:[^\\{q[0]}{chr(92) + 'n' if len(q) == 1 else ''}]|\\.{'' if len(q) == 1 else f'|{q[0]}(?!{q[0]}{q[0]})'})*{q}", re.S) for q in ("'", '"', "'''", '"""')}
 
@@ -296,12 +296,20 @@ def logical_lines(flat_text: str) -> list[tuple[str, str]] | None:
             continue
         indent = line[: len(line) - len(body)]
         # FSTRING fields hold balanced braces, so counts tell whether a bracket is open.
-        while body.count("(") + body.count("[") + body.count("{") > body.count(")") + body.count("]") + body.count("}"):
-            if i >= len(lines):
-                return None
-            body += lines[i]
-            i += 1
-        out.append((indent, body.replace(" ", "").replace("\t", "").replace("\f", "")))
+        opened = body.count("(") + body.count("[") + body.count("{")
+        if opened and opened > body.count(")") + body.count("]") + body.count("}"):
+            depth = opened - body.count(")") - body.count("]") - body.count("}")
+            parts = [body]
+            while depth > 0:
+                if i >= len(lines):
+                    return None
+                more = lines[i]
+                i += 1
+                depth += more.count("(") + more.count("[") + more.count("{") - more.count(")") - more.count("]") - more.count("}")
+                parts.append(more)
+            body = "".join(parts)
+        body = body.replace(" ", "")
+        out.append((indent, body.replace("\t", "").replace("\f", "") if "\t" in body or "\f" in body else body))
     return out
 
 
