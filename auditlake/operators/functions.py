@@ -22,9 +22,9 @@ FUNCTION = "name string, start_line int, end_line int, n_lines int, n_params int
 MOST_LINES = {"python": 50, "go": 80, "typescript": 60, "javascript": 50, "java": 60}
 BLANKED = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`", re.S)
 HEAD = {
-    "go": re.compile(r"\bfunc\s*(?:\([^)]*\)\s*)?(?P<name>\w+)\s*\((?P<args>[^)]*)\)[^{;\n]*\{"),
-    "java": re.compile(r"(?<![\w.])(?!(?:if|for|while|switch|catch|synchronized|return|new|else|do|try)\b)(?:[\w<>\[\], ?.@]+\s+)(?P<name>(?!(?:if|for|while|switch|catch|synchronized)\b)\w+)\s*\((?P<args>[^()]*)\)\s*(?:throws [\w., ]+)?\{"),
-    "script": re.compile(r"\bfunction\s*\*?\s*(?P<name>\w*)\s*(?:<[^>(]*>)?\((?P<args>[^)]*)\)[^{;\n]*\{|\b(?:const|let|var)\s+(?P<name2>\w+)\s*=\s*(?:async\s*)?\((?P<args2>[^)]*)\)[^={\n]*=>\s*\{|^[ \t]+(?:(?:public|private|protected|static|async|get|set)\s+)*(?P<name3>(?!(?:if|for|while|switch|catch|function|return|constructor)\b)\w+)\s*\((?P<args3>[^)]*)\)[^{;\n=]*\{", re.M),
+    "go": re.compile(r"\bfunc\s*(?:\([^)]*\)\s*)?(?P<name>\w+)\s*\((?P<args>[^)]{0,2000})\)[^{;\n]{0,2000}\{"),
+    "java": re.compile(r"(?<![\w.])(?!(?:if|for|while|switch|catch|synchronized|return|new|else|do|try)\b)[\w<>\[\],?.@]{1,200}\s+(?P<name>(?!(?:if|for|while|switch|catch|synchronized)\b)\w{1,200})\s*\((?P<args>[^()]{0,2000})\)\s*(?:throws [\w., ]+)?\{"),
+    "script": re.compile(r"\bfunction\s*\*?\s*(?P<name>\w*)\s*(?:<[^>(]*>)?\((?P<args>[^)]{0,2000})\)[^{;\n]{0,2000}\{|\b(?:const|let|var)\s+(?P<name2>\w+)\s*=\s*(?:async\s*)?\((?P<args2>[^)]{0,2000})\)[^={\n]{0,500}=>\s*\{|^[ \t]+(?:(?:public|private|protected|static|async|get|set)\s+)*(?P<name3>(?!(?:if|for|while|switch|catch|function|return|constructor)\b)\w+)\s*\((?P<args3>[^)]{0,2000})\)[^{;\n=]{0,500}\{", re.M),
 }
 BRANCH = re.compile(r"\b(?:if|for|while|case|catch|select)\b|&&|\|\||\?(?![.?:])")
 
