@@ -115,4 +115,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": "SELECT DISTINCT review_id, file_seq FROM code_files WHERE length(content) > 8000",
+        "p4_found": r"""
+            WITH f AS (SELECT DISTINCT arrival_seq, title, description, file_path, coalesce(line_start, 0) AS line FROM agent_results WHERE description <> '' AND file_path IS NOT NULL),
+            w AS (SELECT arrival_seq, line, lower(regexp_extract(file_path, '([^/\\]*)$', 1)) AS base, list_distinct(regexp_extract_all(lower(coalesce(title, '') || ' ' || description), '[a-z0-9_]+')) AS ws FROM f)
+            SELECT a.arrival_seq AS arrival_seq_a, b.arrival_seq AS arrival_seq_b FROM w a JOIN w b ON a.base = b.base AND a.arrival_seq < b.arrival_seq AND (a.line = 0 OR b.line = 0 OR abs(a.line - b.line) <= 8)
+            WHERE 10 * len(list_intersect(a.ws, b.ws)) >= 7 * (len(a.ws) + len(b.ws) - len(list_intersect(a.ws, b.ws)))
+        """,
     }
