@@ -104,3 +104,17 @@ def test_dependencies(spark):
     assert [(r.id, r.severity, r.line_start) for r in D.scanner_findings(a, ["id"]).collect()] == [(1, "high", 3)]
     g = spark.createDataFrame([(1, "go.mod", "x // indirect\n" * 21), (2, "go.mod", "x // indirect\n")], FILE)
     assert [r.id for r in D.too_indirect(g, ["id"]).collect()] == [1]
+
+
+def test_boundary_chunks(spark):
+    from auditlake.operators import context as O
+
+    text = "import os\n\n\n" + "".join(f"@d\ndef f{i}(a):\n" + "    x = 'some text here'\n" * (5 + i) + "\n\n" for i in range(12))
+    rows = O.cut_at_definitions(text, 100)
+    lines = text.split("\n")
+    assert rows[0][0] == 1 and rows[-1][1] == len(lines) and len(rows) > 3
+    for (a, b, t), (c, _, _) in zip(rows, rows[1:]):
+        assert c == b + 1 and lines[c - 1] == "@d"
+    assert O.cut_at_definitions("def (", 5) == [(1, 1, 1)]
+    df = spark.createDataFrame([(1, "a.py", text), (2, "b.go", "x\ny"), (3, "c.py", None)], FILE)
+    assert {r.id for r in O.boundary_chunks(df, ["id"]).collect()} == {1, 2}
