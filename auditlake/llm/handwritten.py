@@ -233,18 +233,19 @@ class Model:
         return x @ self.weights.T + self.bias
 
 
-def train_svm(x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    """Hinge loss by stochastic sub-gradients (step 1/(lambda t)), one-against-rest, both sides weighted alike, averaged over the second half."""
+def train_svm(x: np.ndarray, y: np.ndarray, rows: np.ndarray | None = None, epochs: int = EPOCHS, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """Of the rows (numbers; none are copied) of x. Hinge loss by stochastic sub-gradients (step 1/(lambda t)), one-against-rest, both sides weighted alike, averaged over the second half."""
     rng = np.random.default_rng(seed)
-    n, k = len(x), y.shape[1]
+    rows = np.arange(len(x)) if rows is None else rows
+    n, k = len(rows), y.shape[1]
     w, b = np.zeros((k, x.shape[1]), np.float32), np.zeros(k, np.float32)
     mean_w, mean_b, m = np.zeros_like(w), np.zeros_like(b), 0
     sign = np.where(y, 1.0, -1.0).astype(np.float32)
-    positive = y.sum(0)
+    positive = y[rows].sum(0)
     cost = np.where(y, np.clip((n - positive) / np.maximum(1, positive), 1, 12), 1.0).astype(np.float32)
     lam, size, t = 1e-3, 64, 0
     for epoch in range(epochs):
-        order = rng.permutation(n)
+        order = rows[rng.permutation(n)]
         for s in range(0, n, size):
             i = order[s : s + size]
             t += 1
@@ -265,18 +266,20 @@ def fit(rows: list[tuple[str, str, str | None]], libs: Libraries, epochs: int =
     seen = [look(p, t, libs) for p, t, _ in rows]
     if not rows:
         return Model(np.zeros((len(KINDS), WIDTH), np.float32), np.full(len(KINDS), -9, np.float32), {})
-    x = np.stack([features(p, s) for (p, _, _), s in zip(rows, seen)])
+    x = np.empty((len(rows), WIDTH), np.float32)
+    for i, ((p, _, _), s) in enumerate(zip(rows, seen)):
+        x[i] = features(p, s)
     y = np.stack([labels(s, p) for (p, _, _), s in zip(rows, seen)])
     repos = pd.Series([r or "" for _, _, r in rows])
     held = (pd.util.hash_pandas_object(repos, index=False).to_numpy() % 5 == 0)
     report = {}
     if held.any() and not held.all():
-        w, b = train_svm(x[~held], y[~held], epochs // 2)
-        said = x[held] @ w.T + b > 0
+        w, b = train_svm(x, y, np.flatnonzero(~held), epochs // 2)
+        said = np.stack([x[i] @ w.T + b > 0 for i in np.flatnonzero(held)])
         for k, kind in enumerate(KINDS):
             good = (said[:, k] & y[held, k]).sum()
             report[kind] = (float(good / max(1, said[:, k].sum())), float(good / max(1, y[held, k].sum())))
-    w, b = train_svm(x, y, epochs)
+    w, b = train_svm(x, y, epochs=epochs)
     b[~y.any(0)] = -9  # no example of this kind
     w[~y.any(0)] = 0
     return Model(w, b, report)
