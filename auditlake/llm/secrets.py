@@ -1,6 +1,7 @@
 """Credentials in source code: found, located by line, and masked.
 
-A keyword automaton over the whole text gives the lines worth reading; only these are tried with the expressions: issuer formats,
+A keyword automaton over the whole text gives the lines worth reading (its keywords cover every word that ends a secret's name, in any
+case); only these are tried with the expressions: issuer formats,
 private key blocks, URLs with a password, key parameters of URLs, authorization headers, assignments to names that end in a word for a
 secret, and comments that tell one. A match is validated: issuer checks on structure (a JWT's header must decode to JSON with an
 algorithm, Basic data must decode to user:password, a key block must have a body), and values that are empty, placeholders, masked,
@@ -29,9 +30,9 @@ from pyspark.sql import functions as F
 
 from auditlake.session import spread
 
-# Keywords of the prefilter (each also capitalised and in capitals), issuer prefixes, and words of names.
-KEYWORDS = ["pass", "pwd", "secret", "token", "_key", "-key", ".key", "apikey", " key", "auth", "cred", "login", "bearer", "basic ", "_pw", "-pw", "dsn"]
-EXACT = ["Key", "://", "?key=", "&key=", "sig=", "signature=", "-----BEGIN", "AKIA", "ASIA", "ghp_", "gho_", "ghs_", "ghu_", "ghr_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "xoxa-", "xoxs-", "xoxr-", "_live_", "_test_", "eyJ", "AIza", "npm_", "pypi-", "hf_", "SG.", "dop_v1_", "密码", "密钥", "口令", "令牌", "パスワード", "пароль", "Пароль"]
+# Keywords of the prefilter in any case, and as they are; issuer prefixes, and words of names.
+KEYWORDS = ["pass", "pwd", "secret", "token", "_key", "-key", ".key", "apikey", " key", "accesskey", "privatekey", "auth", "cred", "login", "bearer", "basic ", "_pw", "-pw", "dsn", "?key=", "&key=", "sig=", "signature=", "пароль"]
+EXACT = ["://", "Basic", "Digest", "-----BEGIN", "AKIA", "ASIA", "ghp_", "gho_", "ghs_", "ghu_", "ghr_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "xoxa-", "xoxs-", "xoxr-", "_live_", "_test_", "eyJ", "AIza", "npm_", "pypi-", "hf_", "SG.", "dop_v1_", "密码", "密钥", "口令", "令牌", "パスワード"]
 
 ISSUER = re.compile(
     r"(?<![A-Za-z0-9_])(?:"
@@ -91,12 +92,15 @@ VOCABULARY = {"password", "passwd", "pwd", "pass", "secret", "token", "key", "ap
 
 
 def _automaton() -> ahocorasick.Automaton:
+    """Of lowered text; (length, None) reads the line, (length, text) if the text is the same, (length, "") if the word ends a name's part."""
     auto = ahocorasick.Automaton()
-    for k in KEYWORDS:
-        for form in {k, k.upper(), k.title(), k.capitalize()}:
-            auto.add_word(form, len(form))
+    for w in LAST | {"key", "keys"}:
+        if not any(k in w for k in KEYWORDS):
+            auto.add_word(w, (len(w), ""))
     for k in EXACT:
-        auto.add_word(k, len(k))
+        auto.add_word(k.lower(), (len(k), k))
+    for k in KEYWORDS:
+        auto.add_word(k, (len(k), None))
     auto.make_automaton()
     return auto
 
@@ -104,6 +108,29 @@ def _automaton() -> ahocorasick.Automaton:
 _auto = _automaton()
 
 
+def _lowered(text: str) -> str:
+    """In small letters, of the same length."""
+    return text.replace("\u0130", "i").lower()
+
+
+def _worth(text: str, end: int, size: int, exact: str | None) -> bool:
+    """Whether a keyword of the lowered text that ends at ``end`` counts; short words only where WORD would cut them out."""
+    if exact is None:
+        return True
+    b = end + 1 - size
+    if exact:
+        return text.startswith(exact, b)
+    after, then, before = text[end + 1 : end + 2], text[end + 2 : end + 3], text[b - 1 : b] if b else ""
+    if "a" <= after <= "z" or "A" <= after <= "Z" and text[end].isupper() and not "a" <= then <= "z":
+        return False
+    return not ("A" <= before <= "Z" and (text[b].islower() or text[b + 1].isupper()) or "a" <= before <= "z" and text[b].islower())
+
+
+def prefiltered(text: str) -> bool:
+    """Some keyword of the automaton counts."""
+    return any(_worth(text, end, *k) for end, k in _auto.iter(_lowered(text)))
+
+
 def secret_name(name: str) -> bool:
     """The last words of an identifier are words for a secret value."""
     words = [w.lower() for w in WORD.findall(name)]
@@ -241,8 +268,8 @@ def find_spans(text: str | None, path: str | None = None) -> list[tuple[int, int
     config = bool(path and CONFIG.search(path)) or settings_text(text)
     out: list[tuple[int, int]] = []
     upto = -1
-    for end, n in _auto.iter(text):
-        if end < upto:
+    for end, k in _auto.iter(_lowered(text)):
+        if end < upto or not _worth(text, end, *k):
             continue
         a = text.rfind("\n", 0, end) + 1
         e = text.find("\n", end)

@@ -70,3 +70,18 @@ def test_frame(spark):
     assert got == [("", 0, 1), ("r", 3, 1)]
     assert S.find_lines(df.limit(0), ["review_id", "record_seq"], "text", "path").count() == 0
     assert all("ghp_" not in r.redacted for r in S.find_credentials(df, ["review_id", "record_seq"], "text", "path").collect())
+
+
+def test_every_secret_name_passes_the_prefilter():
+    words = {f for w in S.LAST for f in (w, w.capitalize(), w.upper())}
+    words |= {f(k) + sep + f(w) for k in S.KEY_OF for w in ("key", "keys") for f in (str, str.capitalize, str.upper) for sep in ("", "_", "-", ".", "$", "密")}
+    names = {p + w + e for w in words for p in ("", "root", "binderRoot", "ROOT", "DB", "root.", "root_", "root-", "$", "x1", "密") for e in ("", "1", "_2", "Value", ".value", "_VALUE")}
+    accepted = {n for n in names if S.secret_name(n)}
+    assert len(accepted) > 5000 and not {n for n in accepted if not S.prefiltered(n)}
+
+
+def test_camel_and_dotted_names():
+    for line in ('var windowRootPw = "Binder-Rotate674"', 'const binderRootPw = "Binder-Rotate674"', "dbPin := 'Counter!Store821'", 'userPSK = "Counter!Store821"', 'JWT: "Counter!Store821"'):
+        assert S.credential_lines("x\n" + line, "a.go") == [2] and S.redact(line, "a.go") != line
+    assert S.credential_lines("root.pw=Counter!Store821", "a.properties") == [1]
+    assert S.credential_lines('mapping = "Counter!Store821"; spawn("npwx")', "a.go") == []
