@@ -1,10 +1,15 @@
-"""Import graphs: edges, degrees, isolated modules, bounded cycles."""
+"""Import graphs: edges, degrees, isolated modules, bounded cycles, strongly connected components."""
 
 from __future__ import annotations
 
+from collections import defaultdict
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from auditlake.session import checkpointed
+
 # Top-level names that are no modules of a project.
 STANDARD = ["os", "sys", "re", "json", "logging", "typing", "dataclasses", "collections", "functools", "itertools", "datetime", "pathlib", "asyncio", "__future__", "abc", "math", "time", "random", "subprocess", "threading", "unittest", "pytest"]
 
@@ -39,20 +44,80 @@ def isolated(modules: DataFrame, edges: DataFrame, most: int = 10) -> DataFrame:
     return alone.join(several, "review_id", "left_semi").join(few, "review_id", "left_semi")
 
 
-def cycles(edges: DataFrame, longest: int = 4) -> DataFrame:
-    """(cycle array): simple cycles of two to ``longest`` nodes of edges(src, dst), from their smallest node on.
+def _strong(edges: list[tuple[str, str]]) -> list[list[str]]:
+    """The sorted components of two nodes or more, by a search forwards and one backwards."""
+    out, back = defaultdict(list), defaultdict(list)
+    for a, b in edges:
+        out[a].append(b)
+        back[b].append(a)
+    order, seen = [], set()
+    for root in list(out):
+        if root in seen:
+            continue
+        seen.add(root)
+        stack = [(root, iter(out[root]))]
+        while stack:
+            v, rest = stack[-1]
+            w = next((x for x in rest if x not in seen), None)
+            if w is None:
+                order.append(v)
+                stack.pop()
+            else:
+                seen.add(w)
+                stack.append((w, iter(out.get(w, ()))))
+    found, done = [], set()
+    for v in reversed(order):
+        if v in done:
+            continue
+        done.add(v)
+        part, todo = [], [v]
+        while todo:
+            part.append(todo.pop())
+            more = {w for w in back.get(part[-1], ()) if w not in done}
+            done |= more
+            todo += more
+        if len(part) > 1:
+            found.append(sorted(part))
+    return found
+
+
+def components(edges: DataFrame, key: str) -> DataFrame:
+    """(key, members array): the strongly connected components of two nodes or more of each key's graph; a graph is held by one task."""
+
+    def run(name: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        found = _strong(list(zip(part.src, part.dst)))
+        return pd.DataFrame({key: [name[0]] * len(found), "members": found}, dtype=object)
+
+    kind = dict(edges.dtypes)[key]
+    e = edges.where("src <> dst").select(key, "src", "dst").distinct()
+    return e.groupBy(key).applyInPandas(run, f"`{key}` {kind}, members array<string>")
+
+
+def cycles(edges: DataFrame, longest: int = 6, key: str | None = None) -> DataFrame:
+    """(key, cycle array): simple cycles of two to ``longest`` nodes of edges(key, src, dst), from their smallest node on; without a key one graph.
 
     Paths only grow over nodes larger than their first, so every cycle is found once; each step is one join, and paths are bounded by
-    ``longest``.
+    ``longest``. What is longer lies within components().
     """
-    e = edges.select("src", "dst").where("src <> dst").distinct()
-    paths = e.where("dst > src").select(F.array("src", "dst").alias("path"))
+    k = [key] if key else []
+    e = edges.select(*k, "src", "dst").where("src <> dst").distinct()
+    paths = e.where("dst > src").select(*k, F.array("src", "dst").alias("path"))
     found = None
     for n in range(2, longest + 1):
-        last = paths.select("path", F.element_at("path", -1).alias("src"))
-        step = last.join(e, "src")
-        closed = step.where(F.col("dst") == F.element_at("path", 1)).select(F.col("path").alias("cycle"))
+        last = paths.select(*k, "path", F.element_at("path", -1).alias("src"))
+        step = last.join(e, [*k, "src"])
+        closed = step.where(F.col("dst") == F.element_at("path", 1)).select(*k, F.col("path").alias("cycle"))
         found = closed if found is None else found.unionByName(closed)
         if n < longest:
-            paths = step.where((F.col("dst") > F.element_at("path", 1)) & ~F.array_contains("path", F.col("dst"))).select(F.concat("path", F.array("dst")).alias("path"))
+            paths = step.where((F.col("dst") > F.element_at("path", 1)) & ~F.array_contains("path", F.col("dst"))).select(*k, F.concat("path", F.array("dst")).alias("path"))
     return found
+
+
+def cycle_report(edges: DataFrame, longest: int = 6) -> DataFrame:
+    """(review_id, kind, modules array): every cycle of up to ``longest`` modules, and each component of more, which may hold longer ones, whole."""
+    c = checkpointed(components(edges, "review_id").withColumn("c", F.monotonically_increasing_id()))
+    at = c.select("review_id", "c", F.explode("members").alias("m"))
+    inside = edges.join(at.select("review_id", F.col("m").alias("src"), F.col("c").alias("_a")), ["review_id", "src"]).join(at.select("review_id", F.col("m").alias("dst"), F.col("c").alias("_b")), ["review_id", "dst"])
+    inside = checkpointed(inside.where("_a = _b").select("review_id", "src", "dst").distinct())
+    whole = c.where(F.size("members") > longest).select("review_id", F.lit("component").alias("kind"), F.col("members").alias("modules"))
+    return cycles(inside, longest, "review_id").select("review_id", F.lit("cycle").alias("kind"), F.col("cycle").alias("modules")).unionByName(whole)

@@ -162,6 +162,14 @@ def graph_cycles(spark, d):
     return G.cycles(e, longest=4).select(F.array_join(F.col("cycle").cast("array<string>"), ">").alias("cycle"))
 
 
+_LOOPS = "g AS (SELECT DISTINCT review_id, src, dst FROM ed WHERE src <> dst), lp AS (SELECT review_id, [src, dst] AS path FROM g WHERE dst > src UNION ALL SELECT lp.review_id, list_append(path, dst) FROM lp JOIN g ON g.review_id = lp.review_id AND g.src = path[-1] WHERE len(path) < 6 AND dst > path[1] AND NOT list_contains(path, dst)), re AS (SELECT review_id, src, dst FROM g UNION SELECT re.review_id, re.src, g.dst FROM re JOIN g ON g.review_id = re.review_id AND g.src = re.dst), sc AS (SELECT DISTINCT review_id, members FROM (SELECT a.review_id, a.src, list_sort(list(a.dst)) AS members FROM re a JOIN re b ON b.review_id = a.review_id AND b.src = a.dst AND b.dst = a.src GROUP BY 1, 2))"
+
+
+@query("SELECT lp.review_id, 'cycle' AS kind, array_to_string(path, '>') AS modules FROM lp JOIN g ON g.review_id = lp.review_id AND g.src = path[-1] AND g.dst = path[1] UNION ALL SELECT review_id, 'component', array_to_string(members, '>') FROM sc WHERE len(members) > 6", "RECURSIVE " + C_, _MODULES, _PY, _EDGES, _LOOPS)
+def import_cycles(spark, d):
+    return G.cycle_report(_edges(spark, d), longest=6).withColumn("modules", F.array_join("modules", ">"))
+
+
 @query(r"SELECT review_id, file_seq, unnest(list_concat(list_transform(regexp_extract_all(content, '(?m)^[ \t]*class[ \t]+(\w+)', 1), lambda x: 'class ' || x), list_transform(regexp_extract_all(content, '(?m)^[ \t]*(?:async[ \t]+)?def[ \t]+(\w+)', 1), lambda x: 'def ' || x))) AS symbol FROM md WHERE lang = 'python' AND content IS NOT NULL", C_, _MODULES)
 def symbols(spark, d):
     found = lambda rx, word: F.transform(F.regexp_extract_all("content", F.lit(rx), F.lit(1)), lambda x: F.concat(F.lit(word), x))
