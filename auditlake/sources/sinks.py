@@ -9,9 +9,36 @@ from auditlake.functions.scalars import html_escape
 
 
 def save_findings(findings: DataFrame, path: str) -> None:
-    """Findings by review bucket: a batch replaces its reviews' partitions, so a retry gives the same table."""
-    x = findings.withColumn("bucket", F.pmod(F.xxhash64("review_id"), F.lit(256)))
-    x.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(path)
+    """Findings by review bucket: a batch replaces the stored rows of its reviews, so a retry gives the same table; one writer at a time.
+
+    The touched buckets are merged aside and then overwritten. A write that broke off between is finished by the next call first, so
+    no rows of other reviews are lost. A review of which the batch has no finding keeps its rows.
+    """
+    spark = findings.sparkSession
+    jvm = spark._jvm
+    root, aside = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}/_merged")
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def put() -> None:
+        spark.read.parquet(f"{path}/_merged").repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+        fs.delete(aside, True)
+
+    if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/_merged/_SUCCESS")):
+        put()
+    x = findings.withColumn("bucket", F.pmod(F.xxhash64("review_id"), F.lit(256)).cast("int")).persist()
+    try:
+        touched = [r.bucket for r in x.select("bucket").distinct().collect()]
+        if not touched:
+            return
+        merged = x
+        if fs.exists(root) and any(f.getPath().getName().startswith("bucket=") for f in fs.listStatus(root)):
+            own = x.select(F.col("review_id").alias("_own")).distinct()
+            kept = spark.read.parquet(path).where(F.col("bucket").isin(touched)).join(own, F.col("review_id").eqNullSafe(F.col("_own")), "left_anti")
+            merged = x.unionByName(kept, allowMissingColumns=True)
+        merged.write.mode("overwrite").parquet(f"{path}/_merged")
+        put()
+    finally:
+        x.unpersist()
 
 
 def upserted(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
