@@ -53,6 +53,11 @@ ISSUER = re.compile(
 )
 PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 PEM_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+#: A key block's line between line ends or escapes of them, with listing numbers, comment signs and quotes around it; and its last, perhaps short one.
+PEM_BREAK = re.compile(r"\r?\n|\\[nr]")
+_AROUND = r"\s*(?:\d+ \|)?[\s\"'`+,;.()#*>/]*?"
+PEM_LINE = re.compile(_AROUND + r"([A-Za-z0-9+/]{16,}={0,2}|[A-Za-z-]+: [^\n\"'`;{}]*|)[\s\"'`+,;.()\\]*")
+PEM_TAIL = re.compile(_AROUND + r"([A-Za-z0-9+/]{4,}={0,2})(?=[\"'`]|\s*$|-----END)")
 URL = re.compile(r"[A-Za-z][A-Za-z0-9+.-]{1,20}://([^\s/:@\"'`<>]*):([^\s/@\"'`<>]+|[^\s@\"'`<>]+?)@(?=[A-Za-z0-9_.\-\[])")
 PARAMETER = re.compile(r"[?&](?:api[_-]?key|apikey|key|access[_-]?token|auth[_-]?token|token|sig|signature|secret|client[_-]?secret|password|passwd|pwd|auth)=([^\s&#\"'`<>]{8,})", re.I)
 HEADER = re.compile(r"\b(?:(Basic)|Bearer|token|Token|ApiKey|Digest)\s+([A-Za-z0-9+/=_.~%-]{12,})")
@@ -183,6 +188,28 @@ def _random(v: str) -> bool:
     return kinds >= 3 and bool(re.search("[0-9]", v)) or len(v) >= 20 and bool(re.fullmatch(r"[A-Za-z0-9+/=_-]+", v)) and bool(re.search("[0-9]", v)) and bool(re.search("[A-Za-z]", v))
 
 
+def _key_end(text: str, b: int) -> int:
+    """The end of the key block's body that begins at ``b``: its lines are followed as long as they look like a key, then to its END marker."""
+    end, at = b, b
+    while at <= len(text):
+        gap = PEM_BREAK.search(text, at)
+        stop = gap.start() if gap else len(text)
+        m = PEM_LINE.fullmatch(text, at, stop)
+        if not m:
+            tail = PEM_TAIL.match(text, at, stop)
+            if tail and (len(tail.group(1)) >= 16 or end > b and not tail.group(1).isalpha()):
+                end = tail.end(1)
+            break
+        end = m.end(1) if m.group(1) else end
+        at = gap.end() if gap else len(text) + 1
+    last = PEM_END.search(text, end, end + 20_000)
+    if last and not PEM.search(text, end, last.start()):
+        body = re.sub(r"\\[nr]", "\n", text[b : last.start()])
+        if 2 * sum(map(len, re.findall(r"[A-Za-z0-9+/=]{16,}", body))) >= len(re.sub(r"[^A-Za-z0-9+/=]", "", body)):
+            return last.start()
+    return end
+
+
 def _line(text: str, a: int, e: int, config: bool) -> list[tuple[int, int]]:
     """(begin, end) of the secret values that begin in text[a:e]; the next line is read for a value that is split off."""
     line = text[a:e]
@@ -193,8 +220,7 @@ def _line(text: str, a: int, e: int, config: bool) -> list[tuple[int, int]]:
             out.append((b, end))
 
     for m in PEM.finditer(line):
-        last = PEM_END.search(text, a + m.end(), a + m.end() + 20_000)
-        body = text[a + m.end() : last.start() if last else min(len(text), a + m.end() + 4000)]
+        body = text[a + m.end() : _key_end(text, a + m.end())]
         flat = re.sub(r"\\[nr]|[^A-Za-z0-9+/=]", "", body)
         if len(flat) >= 24 and len(set(flat)) > 8:
             add(a + m.end(), a + m.end() + len(body))
@@ -267,7 +293,7 @@ def find_spans(text: str | None, path: str | None = None) -> list[tuple[int, int
         return []
     config = bool(path and CONFIG.search(path)) or settings_text(text)
     out: list[tuple[int, int]] = []
-    upto = -1
+    upto = reach = -1
     for end, k in _auto.iter(_lowered(text)):
         if end < upto or not _worth(text, end, *k):
             continue
@@ -277,9 +303,11 @@ def find_spans(text: str | None, path: str | None = None) -> list[tuple[int, int
         upto = e
         if e > a and text[e - 1] == "\r":
             e -= 1
-        if out and out[-1][1] > a:  # within a key block
+        if reach >= e:  # within a key block
             continue
-        out += _line(text, a, e, config)
+        new = [x for x in _line(text, a, e, config) if x[0] >= reach]
+        out += new
+        reach = max([reach, *(y for _, y in new)])
     return sorted(out)
 
 

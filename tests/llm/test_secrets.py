@@ -85,3 +85,20 @@ def test_camel_and_dotted_names():
         assert S.credential_lines("x\n" + line, "a.go") == [2] and S.redact(line, "a.go") != line
     assert S.credential_lines("root.pw=Counter!Store821", "a.properties") == [1]
     assert S.credential_lines('mapping = "Counter!Store821"; spawn("npwx")', "a.go") == []
+
+
+def test_long_and_truncated_keys():
+    begin, end = "-----BEGIN PRIVATE " + "KEY-----", "-----END PRIVATE " + "KEY-----"
+    lines = [f"MIIEowIBAAKCAQEAw7Zb9yQ2qR8sT1uV3wX5yZ7aB9cDmnop{i:06d}ghZK" for i in range(1000)]
+    for gap in ("\n", "\\n", '\\n" +\n    "'):
+        for stop in (end, ""):
+            text = 'key = "' + begin + gap + gap.join(lines) + gap + stop + '"\nprint(totals)\n'
+            fixed = S.redact(text, "a.py")
+            assert len(fixed) == len(text) and "qR8s" not in fixed and "ghZK" not in fixed and fixed.endswith('"\nprint(totals)\n')
+
+
+def test_a_marker_without_key_hides_nothing():
+    begin = "-----BEGIN PRIVATE " + "KEY-----"
+    code = f'if "{begin}" in text:\n    return load(text)\n' + "counter = counter + 1\n" * 40
+    assert S.redact(code, "a.py") == code
+    assert S.credential_lines(code + 'db_password = "Counter!Store821"\n', "a.py") == [43]
