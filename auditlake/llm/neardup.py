@@ -6,7 +6,8 @@ half) are taken over the set; the minima of a band, with the file name, are a bu
 of each of 64 minima) don't rule it out are candidates, which are compared on their whole sets of 32-bit word hashes. Records of a class, or of two similar classes, are linked if their lines are
 near: through bins of ``line_gap + 1`` lines, so a large group of copies is never paired as a whole.
 
-At the threshold of 0.7 a pair is missed with a probability of (1 - 0.7^3)^20, about 1 in 4,500, and far less above it.
+At the threshold of 0.7 a pair is missed with a probability of (1 - 0.7^3)^20, about 1 in 4,500, by the bands; the sketches
+(at most 31 of 64 fields may differ) add 1.4 in a million by a binomial count. Above it both are far less.
 
 Defined results: a null or empty description, a null path or a null key take no part; a null title counts as empty; a line that is null
 or 0 is near to any; rows with one key are one record. Empty tables give no rows; other columns aren't read.
@@ -126,9 +127,9 @@ def similar_classes(sets: DataFrame, threshold: float, bands: int, rows: int) ->
 
 
 def most_differing(threshold: float) -> int:
-    """Sketch fields in which a pair at the threshold differs at most, but for 3.2 standard deviations."""
+    """Sketch fields in which a pair at the threshold differs at most, but for five standard deviations."""
     p = (1 - threshold) * 3 / 4
-    return round(SKETCH * p + 3.2 * (SKETCH * p * (1 - p)) ** 0.5)
+    return round(SKETCH * p + 5 * (SKETCH * p * (1 - p)) ** 0.5)
 
 
 def near_pairs(df: DataFrame, key: str = "arrival_seq", threshold: float = THRESHOLD, line_gap: int = LINE_GAP, bands: int = BANDS, rows: int = ROWS) -> DataFrame:

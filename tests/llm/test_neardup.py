@@ -63,3 +63,12 @@ def test_components(spark):
     got = {r.node: r.component for r in K.components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
     assert got == want
     assert K.components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
+
+
+def test_sketches_add_little_to_the_misses():
+    from math import comb
+
+    from auditlake.llm import neardup
+
+    k, p = neardup.most_differing(0.7), 0.3 * 3 / 4
+    assert sum(comb(64, i) * p**i * (1 - p) ** (64 - i) for i in range(k + 1, 65)) < 1e-5
