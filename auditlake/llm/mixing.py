@@ -3,122 +3,159 @@
 Sizes are tokens. Each source's documents, in an order by hash, form a stream; the stream may be walked ``max_repeats`` times. A
 source takes the prefix of that walk that fills ``target_weight * total``. The walk is cut into blocks of ``block_tokens``; block k
 of a source with weight w is released at floor(k/w) and due at ceil((k+1)/w), and of the released blocks the one due first takes the
-next slot, so no source is ever a whole block ahead of or behind its share. Weights are counted in units of 1/``RESOLUTION``: after
-that many slots the schedule repeats, so one period (a table of that many rows, whatever the size of the data) places all blocks.
+next slot, so no source is ever a whole block ahead of or behind its share. Weights are exact fractions (the decimals as written, over
+their sum). With P their least common denominator the schedule repeats after P slots, so a table of P slots places all blocks; where the
+mix has fewer slots than P, the table has those of the mix. One task makes it, row by row, with memory for the sources alone.
 
-``total`` is a parameter; without it, it is the largest size at which every source that has any token reaches its weight. A source
-that can't reach its target gives all it may; the report has its actual share and ``reached`` false.
+``total`` is a parameter. Without it, it is the largest size at which every source that has any token reaches its weight, since a
+short source moves the shares of all others; ``CORPUS`` makes the mix as large as the corpus. A source that can't reach its target gives
+all it may and leaves its later slots empty; the report has its actual share and ``reached`` false.
 
 Defined results: documents with a null source, a source without target, a null, empty or token-free text take no part. Rows with one
 doc_id count once each as they come (doc_id is a key of the table). A target with a null or non-positive weight or no repeats gets
-nothing. Ties of the hash go by id. Empty tables give an empty mix and a report with zero shares.
+nothing; of several targets of one source the largest weight and repeats hold. Ties of the hash go by id. Empty tables give an empty mix
+and a report with zero shares.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterable, Iterator
 from fractions import Fraction
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlake.llm.bpe import TOKENIZER, count_tokens
 from auditlake.session import checkpointed, spread
 
-RESOLUTION = 10_000
 BLOCK_TOKENS = 1024
-#: A table of targets larger than this is refused: the schedule is made by the driver.
-MOST_SOURCES = 10_000
-
-
-def whole_weights(weights: dict[str, float], resolution: int = RESOLUTION) -> dict[str, int]:
-    """Weights as whole units of 1/resolution, summing to it, by largest remainder; each at least one unit."""
-    total = sum(weights.values())
-    exact = {k: Fraction(w) / Fraction(total) * resolution for k, w in weights.items()}
-    units = {k: max(1, math.floor(x)) for k, x in exact.items()}
-    left = resolution - sum(units.values())
-    for k in sorted(exact, key=lambda k: (units[k] - exact[k], k))[: max(0, left)]:
-        units[k] += 1
-    while sum(units.values()) > resolution:
-        k = max(units, key=lambda k: (units[k] - exact[k], units[k], k))
-        units[k] -= 1
-    return units
-
-
-def pfair_slots(units: dict[str, int]) -> list[tuple[str, int, int]]:
-    """(source, k, slot) of one period: earliest deadline first among the released blocks."""
-    n = sum(units.values())
-    waiting = [(0, s, 0) for s in sorted(units)]  # by release
-    heapq.heapify(waiting)
+#: As ``total``: the tokens of all documents whose source has a target.
+CORPUS = -1
+#: Plans of more sources than this aren't broadcast.
+BROADCAST_SOURCES = 10_000
+
+
+def exact_weights(weights: dict[str, float]) -> dict[str, Fraction]:
+    """Fractions that sum to one; a float counts as the decimal it is written as."""
+    exact = {s: Fraction(repr(w)) if isinstance(w, float) else Fraction(w) for s, w in weights.items()}
+    total = sum(exact.values())
+    return {s: w / total for s, w in exact.items()}
+
+
+def period(weights: dict[str, Fraction]) -> int:
+    """The number of slots after which the schedule repeats."""
+    return math.lcm(*(w.denominator for w in weights.values())) if weights else 0
+
+
+def pfair_slots(weights: dict[str, Fraction], n: int) -> Iterator[tuple[str, int, int]]:
+    """(source, k, slot) of the first n slots: earliest deadline first among the released blocks."""
+    num, den = {s: w.numerator for s, w in weights.items()}, {s: w.denominator for s, w in weights.items()}
+    waiting = [(0, s, 0) for s in sorted(weights)]  # by release
     ready: list[tuple[int, str, int]] = []
-    out = []
     for slot in range(n):
         while waiting and waiting[0][0] <= slot:
             _, s, k = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(k + 1) * n // units[s]), s, k))
+            heapq.heappush(ready, (-(-(k + 1) * den[s] // num[s]), s, k))
         _, s, k = heapq.heappop(ready)
-        out.append((s, k, slot))
-        if k + 1 < units[s]:
-            heapq.heappush(waiting, ((k + 1) * n // units[s], s, k + 1))
-    return out
-
-
-def _streams(docs: DataFrame, sources: list[str], tokenizer: str) -> tuple[DataFrame, dict[str, int], list]:
-    """Sized documents in the order of their source's stream, each source's size, and what lies before each (source, part)."""
-    d = docs.select("doc_id", "source", "text").where(F.col("source").isin(sources) & (F.length("text") > 0))
-    sized = count_tokens(spread(d), ["doc_id", "source"], tokenizer=tokenizer).where("n_tokens > 0")
-    h = F.xxhash64("doc_id")
-    ranged = checkpointed(
-        sized.withColumn("h", h).repartitionByRange("source", "h", "doc_id").withColumn("part", F.spark_partition_id())
-    )
-    sums = ranged.groupBy("source", "part").agg(F.sum("n_tokens").alias("n")).orderBy("source", "part").collect()  # one row per part, and source
-    totals: dict[str, int] = {}
-    before = []
-    for r in sums:
-        before.append((r["source"], r["part"], totals.get(r["source"], 0)))
-        totals[r["source"]] = totals.get(r["source"], 0) + r["n"]
-    return ranged, totals, before
+        yield s, k, slot
+        heapq.heappush(waiting, ((k + 1) * den[s] // num[s], s, k + 1))
 
 
-def plan_quotas(targets: list[tuple[str, float, int]], totals: dict[str, int], total: int | None) -> tuple[dict[str, int], int]:
+def plan_quotas(targets: list[tuple[str, Fraction, int]], totals: dict[str, int], total: int | None) -> tuple[dict[str, int], int]:
     """Tokens wanted of each source, and the size of the mix."""
-    if total is None:
-        reach = [Fraction(totals[s] * m) / Fraction(w) for s, w, m in targets if totals.get(s, 0) > 0]
+    if total == CORPUS:
+        total = sum(totals.get(s, 0) for s, _, _ in targets)
+    elif total is None:
+        reach = [totals[s] * m / w for s, w, m in targets if totals.get(s, 0) > 0]
         total = int(min(reach)) if reach else 0
-    return {s: int(Fraction(w) * total) for s, w, _ in targets}, total
+    return {s: int(w * total) for s, w, _ in targets}, total
+
+
+def _goals(rows: Iterable[tuple[str, float, int, int]], total: int | None) -> tuple[dict[str, Fraction], dict[str, int], dict[str, int], dict[str, int], int]:
+    """Weights, sizes, repeats, quotas and the size of the mix, of (source, weight, repeats, size) rows."""
+    rows = list(rows)
+    weights = exact_weights({r[0]: float(r[1]) for r in rows})
+    sizes, most = {r[0]: int(r[3]) for r in rows}, {r[0]: int(r[2]) for r in rows}
+    quotas, size = plan_quotas([(s, weights[s], most[s]) for s in weights], sizes, total)
+    return weights, sizes, most, quotas, size
+
+
+def needed_slots(weights: dict[str, Fraction], quotas: dict[str, int], total: int, block: int) -> Iterator[tuple[str, int, int]]:
+    """The slots of one period, or of the whole mix where that is shorter; blocks that fall due after its end follow in the order of their deadlines."""
+    p, n = period(weights), total // block + 1
+    if p <= n:
+        yield from pfair_slots(weights, p)
+        return
+    done = dict.fromkeys(weights, 0)
+    for s, k, slot in pfair_slots(weights, n):
+        done[s] = k + 1
+        yield s, k, slot
+    left = heapq.merge(*([((k + 1) / weights[s], s, k) for k in range(done[s], -(-quotas[s] // block))] for s in sorted(weights)))
+    for i, (_, s, k) in enumerate(left):
+        yield s, k, n + i
+
+
+def _rows(frames: Iterator[pd.DataFrame]) -> list[tuple[str, float, int, int]]:
+    return [r for f in frames for r in f[["source", "weight", "most", "size"]].itertuples(index=False, name=None)]
+
+
+def _plan_frames(total: int | None):
+    """(source, size, most, quota, unit, period) of each source."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        weights, sizes, most, quotas, _ = _goals(_rows(frames), total)
+        p = period(weights)
+        # A period beyond 64 bits never comes round: every block then has its own row.
+        far = 1 << 62
+        yield pd.DataFrame([(s, sizes[s], most[s], quotas[s], min(int(w * p), far), min(p, far)) for s, w in weights.items()], columns=["source", "size", "most", "quota", "unit", "period"])
+
+    return run
+
+
+def _slot_frames(total: int | None, block: int):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        weights, _, _, quotas, size = _goals(_rows(frames), total)
+        part: list[tuple[str, int, int]] = []
+        for row in needed_slots(weights, quotas, size, block) if weights else ():
+            part.append(row)
+            if len(part) == 50_000:
+                yield pd.DataFrame(part, columns=["source", "k", "slot_in"])
+                part = []
+        yield pd.DataFrame(part, columns=["source", "k", "slot_in"])
+
+    return run
 
 
 def mix(docs: DataFrame, targets: DataFrame, total: int | None = None, block_tokens: int = BLOCK_TOKENS, tokenizer: str = TOKENIZER) -> DataFrame:
     """(slot, source, doc_id, copy, n_tokens, source_offset): the mix; ascending (slot, source_offset) is its order."""
-    spark = docs.sparkSession
-    rows = targets.select("source", "target_weight", "max_repeats").where("source is not null and target_weight > 0 and max_repeats > 0").distinct().limit(MOST_SOURCES + 1).collect()
-    if len(rows) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    goals = sorted((r[0], float(r[1]), int(r[2])) for r in rows)
-    weight_sum = sum(w for _, w, _ in goals) or 1.0
-    goals = [(s, w / weight_sum, m) for s, w, m in goals]
-    ranged, totals, before = _streams(docs, [s for s, _, _ in goals], tokenizer)
-    quotas, _ = plan_quotas(goals, totals, total)
-    units = whole_weights({s: w for s, w, _ in goals}) if goals else {}
-    # At most RESOLUTION slots, one row per part and source, one per source: none grows with the documents.
-    slots = spark.createDataFrame(pfair_slots(units), "source string, k long, slot_in long")
-    offsets = spark.createDataFrame(before, "source string, part int, before long")
-    per = spark.createDataFrame([(s, totals.get(s, 0), quotas[s], m, units[s]) for s, _, m in goals], "source string, size long, quota long, most int, unit long")
+    goals = targets.where("source is not null and target_weight > 0 and max_repeats > 0").groupBy("source").agg(F.max("target_weight").cast("double").alias("weight"), F.max("max_repeats").alias("most"))
+    few = goals.count() <= BROADCAST_SOURCES
+    small = F.broadcast if few else lambda d: d
+    d = docs.select("doc_id", "source", "text").where(F.length("text") > 0).join(small(goals.select("source")), "source", "left_semi")
+    # Counted once: the range partitioning reads its input twice.
+    sized = checkpointed(count_tokens(spread(d), ["doc_id", "source"], tokenizer=tokenizer).where("n_tokens > 0"))
+    ranged = checkpointed(sized.withColumn("h", F.xxhash64("doc_id")).repartitionByRange("source", "h", "doc_id").withColumn("part", F.spark_partition_id()))
+    sums = ranged.groupBy("source", "part").agg(F.sum("n_tokens").alias("n"))  # one row per part, and source
+    before = sums.select("source", "part", F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    told = checkpointed(goals.join(sums.groupBy("source").agg(F.sum("n").alias("size")), "source", "left").select("source", "weight", "most", F.coalesce("size", F.lit(0)).alias("size")))
+    one = told.coalesce(1)
+    plan = one.mapInPandas(_plan_frames(total), "source string, size long, most long, quota long, unit long, period long")
+    slots = one.mapInPandas(_slot_frames(total, block_tokens), "source string, k long, slot_in long")
     w = Window.partitionBy("source", "part").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     placed = (
-        ranged.join(F.broadcast(offsets), ["source", "part"])
-        .join(F.broadcast(per), "source")
+        ranged.join(before, ["source", "part"])
         .withColumn("first", F.col("before") + F.coalesce(F.sum("n_tokens").over(w), F.lit(0)))
-        .withColumn("copy", F.explode(F.expr("sequence(0, most - 1)")))
+        .join(small(plan), "source")
+        .where("first < quota")
+        .withColumn("copy", F.explode(F.expr("sequence(0, least(most - 1, (quota - 1 - first) div size))")))
         .withColumn("source_offset", F.col("first") + F.col("copy") * F.col("size"))
-        .where("source_offset < quota")
         .withColumn("block", F.expr(f"source_offset div {int(block_tokens)}"))
         .withColumn("k", F.expr("block % unit"))
     )
-    return placed.join(F.broadcast(slots), ["source", "k"]).select(
-        F.expr(f"(block div unit) * {RESOLUTION} + slot_in").alias("slot"), "source", "doc_id", "copy", "n_tokens", "source_offset"
-    )
+    return placed.join(slots, ["source", "k"]).select(F.expr("(block div unit) * period + slot_in").alias("slot"), "source", "doc_id", F.col("copy").cast("int").alias("copy"), "n_tokens", "source_offset")
 
 
 def shares(mixed: DataFrame, targets: DataFrame, tolerance: float = 0.01) -> DataFrame:
@@ -128,9 +165,9 @@ def shares(mixed: DataFrame, targets: DataFrame, tolerance: float = 0.01) -> Dat
     """
     got = mixed.groupBy("source", "doc_id").agg(F.count("*").alias("c"), F.sum("n_tokens").alias("n"))
     got = got.groupBy("source").agg(F.count("*").alias("docs"), F.max("c").alias("c"), F.sum("n").alias("n"))
-    goal = targets.select("source", "target_weight", "max_repeats").distinct()
+    goal = targets.groupBy("source").agg(F.max("target_weight").alias("target_weight"), F.max("max_repeats").alias("max_repeats"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    out = F.broadcast(goal).join(got, "source", "left").withColumn("all_n", F.sum("n").over(Window.partitionBy()))
+    out = goal.join(got, "source", "left").withColumn("all_n", F.sum("n").over(Window.partitionBy()))
     share = F.coalesce(F.round(F.col("n") / F.col("all_n"), 6), F.lit(0.0))
     return out.select(
         "source", "target_weight", "max_repeats", zero("docs").alias("n_docs"), zero("c").alias("most_copies"), zero("n").alias("n_tokens"),

@@ -97,6 +97,12 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(p8_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
+def p8_corpus_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of a mix as large as the corpus, which sources with few documents can't fill to their targets."""
+    targets = table(spark, sf_dir, "mix_targets")
+    return mixing.shares(mixing.mix(table(spark, sf_dir, "documents"), targets, total=mixing.CORPUS), targets)
+
+
 def p9_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Garbled documents with their text given back."""
     return mojibake.find_garbled(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).distinct()
@@ -108,7 +114,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [p1_found, p1_pieces, p2_found, p2_kinds, p3_found, p3_redacted, p4_found, p4_groups, p5_found, p5_failures, p5_rates, p6_found, p7_ids, p8_mix, p8_shares, p9_found, p9_repaired]
+    own = [p1_found, p1_pieces, p2_found, p2_kinds, p3_found, p3_redacted, p4_found, p4_groups, p5_found, p5_failures, p5_rates, p6_found, p7_ids, p8_mix, p8_shares, p8_corpus_shares, p9_found, p9_repaired]
     return {f.__name__: f for f in own}
 
 

@@ -8,17 +8,36 @@ from auditlake.llm import bpe, mixing as M
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.dictionaries(st.text("abcdefg", min_size=1, max_size=2), st.floats(0.01, 1), min_size=1, max_size=8))
+@given(st.dictionaries(st.text("abcdefg", min_size=1, max_size=2), st.one_of(st.floats(0.001, 1), st.sampled_from([0.1, 0.2, 0.25, 1 / 3, 0.3])), min_size=1, max_size=8))
 def test_less_than_one_block_off(weights):
-    units = M.whole_weights(weights, 500)
-    assert sum(units.values()) == 500
-    had = dict.fromkeys(units, 0)
-    for s, k, slot in M.pfair_slots(units):
+    exact = M.exact_weights(weights)
+    assert sum(exact.values()) == 1
+    had = dict.fromkeys(exact, 0)
+    for s, k, slot in M.pfair_slots(exact, 400):
         assert k == had[s]
         had[s] += 1
-        for x, u in units.items():
-            assert abs(had[x] - u * (slot + 1) / 500) < 1
-    assert had == units
+        for x, w in exact.items():
+            assert abs(had[x] - w * (slot + 1)) < 1
+
+
+@pytest.mark.parametrize("weights", [{"a": 1.0, "b": 1.0, "c": 1.0}, {"a": 0.2, "b": 0.3, "c": 0.5}, {"a": 0.05, "b": 0.15, "c": 0.35, "d": 0.45}])
+def test_the_period_repeats_without_drift(weights):
+    exact = M.exact_weights(weights)
+    p = M.period(exact)
+    table = list(M.pfair_slots(exact, p))
+    units = {s: int(w * p) for s, w in exact.items()}
+    had = dict.fromkeys(exact, 0)
+    for turn in range(50):
+        for s, k, slot in table:
+            assert turn * units[s] + k == had[s]
+            had[s] += 1
+            assert all(abs(had[x] - w * (turn * p + slot + 1)) < 1 for x, w in exact.items())
+
+
+def test_blocks_due_after_the_end_follow():
+    exact = M.exact_weights({"a": 0.999999937, "b": 0.000000063})
+    rows = list(M.needed_slots(exact, {"a": 9999, "b": 5}, 10000, 100))
+    assert {(s, k) for s, k, _ in rows} >= {("a", k) for k in range(100)} | {("b", 0)} and len({slot for _, _, slot in rows}) == len(rows)
 
 
 @pytest.mark.skipif(not os.path.exists(bpe.TOKENIZER), reason="no rank file")
@@ -52,5 +71,7 @@ def test_target_out_of_reach(spark):
     targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 2)], "source string, target_weight double, max_repeats int")
     share = {r.source: r for r in M.shares(M.mix(df, targets, total=800), targets).collect()}
     assert share["a"].reached and not share["b"].reached and share["b"].most_copies == 2
+    share = {r.source: r for r in M.shares(M.mix(df, targets, total=M.CORPUS), targets).collect()}
+    assert share["a"].actual_share > 0.9 and not share["b"].reached
     empty = M.mix(df.limit(0), targets)
     assert empty.count() == 0 and {r.n_tokens for r in M.shares(empty, targets).collect()} == {0}
