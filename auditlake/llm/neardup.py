@@ -4,7 +4,11 @@ A report's set is the words of title and description together. Reports of one fi
 one set are a class of copies. For each class ``bands`` x ``rows`` minima of universal hashes (odd multiplier, added constant, upper
 half) are taken over the set; the minima of a band, with the file name, are a bucket key. Classes of a bucket whose sketches (two bits
 of each of 64 minima) don't rule it out are candidates, which are compared on their whole sets of 32-bit word hashes. Records of a class, or of two similar classes, are linked if their lines are
-near: through bins of ``line_gap + 1`` lines, so a large group of copies is never paired as a whole.
+near: through bins of ``line_gap + 1`` lines.
+
+Hot keys are split without loss: a bucket of more than about ``SLICE`` classes (found on every 64th class) is cut into slices that meet
+two by two under keys of their own, and so are the members of a class of more than ``SLICE`` records. Groups need no pairs of records:
+the records of a class in one bin are one node, and only the nodes are linked, so copies cost what their number is.
 
 At the threshold of 0.7 a pair is missed with a probability of (1 - 0.7^3)^20, about 1 in 4,500, by the bands; the sketches
 (at most 31 of 64 fields may differ) add 1.4 in a million by a binomial count. Above it both are far less.
@@ -30,6 +34,8 @@ from auditlake.session import checkpointed, spread
 THRESHOLD, LINE_GAP, BANDS, ROWS, SKETCH, SEED = 0.7, 8, 20, 3, 64, 7919
 WORD = re.compile(r"[a-z0-9_]+")
 NO_LINE, ANY_LINE = -1, -2
+#: Classes of a bucket, and records of a class, that one key holds; bytes of band rows to a partition, and of more than ``MANY`` partitions.
+SLICE, PART_BYTES, MANY, MANY_BYTES = 4096, 8 << 20, 10_000, 128 << 20
 
 
 def hash_family(n: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
@@ -110,15 +116,41 @@ def band_rows(sets: DataFrame, bands: int, rows: int) -> DataFrame:
     return sets.select("cls", "base", "words").mapInArrow(run, "band long, cls long, s0 long, s1 long")
 
 
-def similar_classes(sets: DataFrame, threshold: float, bands: int, rows: int) -> DataFrame:
+def _small(df: DataFrame, n: int, most: int = 200_000) -> DataFrame:
+    """``df`` of n narrow rows, broadcast where that is small."""
+    return F.broadcast(df) if n <= most else df
+
+
+def _sliced(buckets: DataFrame, sample: DataFrame, size: int) -> tuple[DataFrame, bool]:
+    """The band rows with a slice s, and the cell in which two slices meet; only buckets that the sample (every 64th class) shows hot are cut."""
+    hot = checkpointed(sample.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") * 64 > size).select("band", F.ceil(F.col("n") * 64 / size).cast("int").alias("slices")))
+    n = hot.count()
+    if not n:
+        return buckets, False
+    x = buckets.join(_small(hot, n), "band", "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
+    x = x.withColumn("s", F.pmod(F.xxhash64("cls"), F.col("slices")).cast("int")).withColumn("t", F.explode(F.expr("sequence(0, slices - 1)")))
+    return x.select(F.xxhash64("band", F.least("s", "t"), F.greatest("s", "t")).alias("cell"), F.col("band"), "cls", "s0", "s1", F.when(F.col("s") != F.col("t"), F.col("s")).otherwise(-1).alias("s")), True
+
+
+def similar_classes(sets: DataFrame, threshold: float, bands: int, rows: int, size: int = SLICE) -> DataFrame:
     """(c1, c2), c1 < c2: the classes that share a bucket, whose sketches don't rule it out, and whose sets reach the threshold."""
-    buckets = band_rows(sets, bands, rows).repartition("band").distinct()
-    x = buckets.withColumnsRenamed({"cls": "c1", "s0": "x0", "s1": "x1"})
-    y = buckets.withColumnsRenamed({"cls": "c2", "s0": "y0", "s1": "y1"})
+    classes = sets.groupBy("cls").agg(F.any_value("base").alias("base"), F.any_value("words").alias("words"))
+    count = sets.count()
+    want = count * bands * 32
+    n = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MANY, -(-want // PART_BYTES)), -(-want // MANY_BYTES))
+    buckets = band_rows(classes, bands, rows)
+    sample = band_rows(sets.where("pmod(cls, 64) = 0").dropDuplicates(["cls"]), bands, rows)
+    buckets, cut = _sliced(buckets, sample, size)
+    key = ["cell", "band"] if cut else ["band"]
+    buckets = buckets.repartition(n, *key)
+    x = buckets.withColumnsRenamed({"cls": "c1", "s0": "x0", "s1": "x1", "s": "t1"})
+    y = buckets.withColumnsRenamed({"cls": "c2", "s0": "y0", "s1": "y1", "s": "t2"})
     half = int("01" * (SKETCH // 2), 2)
     differ = lambda i: f"bit_count((((x{i} ^ y{i}) | shiftrightunsigned(x{i} ^ y{i}, 1)) & {half}L))"
-    pairs = x.join(y, "band").where(f"c1 < c2 and {differ(0)} + {differ(1)} <= {most_differing(threshold)}").select("c1", "c2").distinct()
-    words = sets.groupBy("cls").agg(F.any_value("words").alias("w"))
+    # Two slices meet in a cell for their mixed pairs alone; -1 marks the cell of a slice with itself.
+    mixed = "(t1 = -1 and t2 = -1 or t1 <> t2)" if cut else "true"
+    pairs = x.join(y, key).where(f"c1 < c2 and {mixed} and {differ(0)} + {differ(1)} <= {most_differing(threshold)}").select("c1", "c2").distinct()
+    words = classes.select("cls", F.col("words").alias("w"))
     both = pairs.join(words.withColumnsRenamed({"cls": "c1", "w": "w1"}), "c1").join(words.withColumnsRenamed({"cls": "c2", "w": "w2"}), "c2")
     common = F.size(F.array_intersect("w1", "w2"))
     # In whole numbers, so that a pair at the threshold isn't lost to rounding.
@@ -132,25 +164,66 @@ def most_differing(threshold: float) -> int:
     return round(SKETCH * p + 5 * (SKETCH * p * (1 - p)) ** 0.5)
 
 
-def near_pairs(df: DataFrame, key: str = "arrival_seq", threshold: float = THRESHOLD, line_gap: int = LINE_GAP, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def _members(sets: DataFrame) -> DataFrame:
+    """(cls, k, line): each record once; an unknown line is null."""
+    return sets.select("cls", "k", F.when(F.col("line") != 0, F.col("line")).alias("line")).distinct()
+
+
+def _cut_members(members: DataFrame, links: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """Members with a slice s of their class, and links for every two slices (s1, s2); only classes of more than ``size`` records are cut."""
+    hot = checkpointed(members.groupBy("cls").agg(F.count("*").alias("n")).where(F.col("n") > size).select("cls", F.ceil(F.col("n") / size).cast("int").alias("slices")))
+    n = hot.count()
+    if not n:
+        return members.withColumn("s", F.lit(0)), links.withColumns({"s1": F.lit(0), "s2": F.lit(0)})
+    small = _small(hot, n)
+    members = members.join(small, "cls", "left").withColumn("s", F.pmod(F.xxhash64("k"), F.coalesce("slices", F.lit(1))).cast("int")).drop("slices")
+    for c, s in (("c1", "s1"), ("c2", "s2")):
+        links = links.join(small.withColumnRenamed("cls", c), c, "left").withColumn(s, F.explode(F.expr("sequence(0, coalesce(slices, 1) - 1)"))).drop("slices")
+    return members, links
+
+
+def near_pairs(df: DataFrame, key: str = "arrival_seq", threshold: float = THRESHOLD, line_gap: int = LINE_GAP, bands: int = BANDS, rows: int = ROWS, size: int = SLICE) -> DataFrame:
     """(a, b), a < b: every pair of records of one report."""
     sigs = checkpointed(word_sets(df, key))
-    similar = similar_classes(sigs, threshold, bands, rows)
-    members = sigs.select("cls", "k", F.when(F.col("line") != 0, F.col("line")).alias("line")).distinct()
+    similar = similar_classes(sigs, threshold, bands, rows, size)
+    members = _members(sigs)
     copies = members.groupBy("cls").agg(F.min("k").alias("x"), F.max("k").alias("y")).where("x < y")
     links = similar.unionByName(copies.select(F.col("cls").alias("c1"), F.col("cls").alias("c2")))
+    members, links = _cut_members(members, links, size)
     bin_ = F.floor(F.col("line") / (line_gap + 1))
     left_keys = F.when(F.col("line").isNull(), F.array(F.lit(ANY_LINE).cast("long"))).otherwise(F.array(F.lit(NO_LINE).cast("long"), bin_ * 4, (bin_ - 1) * 4, (bin_ + 1) * 4))
     right_keys = F.when(F.col("line").isNull(), F.array(F.lit(NO_LINE).cast("long"), F.lit(ANY_LINE).cast("long"))).otherwise(F.array(bin_ * 4, F.lit(ANY_LINE).cast("long")))
-    left = links.join(members.withColumnsRenamed({"cls": "c1", "k": "ka", "line": "la"}), "c1")
-    left = left.withColumn("line", F.col("la")).withColumn("at", F.explode(left_keys)).select("c1", "c2", "ka", "la", "at")
-    right = members.withColumn("at", F.explode(right_keys)).select(F.col("cls").alias("c2"), "at", F.col("k").alias("kb"), F.col("line").alias("lb"))
-    met = left.join(right, ["c2", "at"]).where("(c1 <> c2 or ka < kb) and ka <> kb")
+    left = links.join(members.withColumnsRenamed({"cls": "c1", "k": "ka", "line": "la", "s": "s1"}), ["c1", "s1"])
+    left = left.withColumn("line", F.col("la")).withColumn("at", F.explode(left_keys)).select("c1", "c2", "s2", "ka", "la", "at")
+    right = members.withColumn("at", F.explode(right_keys)).select(F.col("cls").alias("c2"), F.col("s").alias("s2"), "at", F.col("k").alias("kb"), F.col("line").alias("lb"))
+    met = left.join(right, ["c2", "s2", "at"]).where("(c1 <> c2 or ka < kb) and ka <> kb")
     met = met.where(F.col("la").isNull() | F.col("lb").isNull() | (F.abs(F.col("la") - F.col("lb")) <= line_gap))
     return met.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")).distinct()
 
 
-def groups(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """(node, component, n_members) of the records that have a near-duplicate."""
-    c = checkpointed(components(pairs, a, b))
-    return c.join(c.groupBy("component").agg(F.count("*").alias("n_members")), "component").select("node", "component", "n_members")
+def near_groups(df: DataFrame, key: str = "arrival_seq", threshold: float = THRESHOLD, line_gap: int = LINE_GAP, bands: int = BANDS, rows: int = ROWS, size: int = SLICE) -> DataFrame:
+    """(node, component, n_members, n_links) of the records that have a near-duplicate: the components of near_pairs(), without its pairs.
+
+    The records of a class in one bin of lines are all linked, hence one node, named by its smallest record; those of unknown line are a
+    node that every bin of the class is linked to. Nodes of one bin are linked if their classes are similar, nodes of neighbouring bins
+    if their nearest lines are. ``n_links`` counts the linked nodes of a record's node.
+    """
+    sigs = checkpointed(word_sets(df, key))
+    bin_ = F.floor(F.col("line") / (line_gap + 1))
+    placed = _members(sigs).withColumn("bin", bin_)
+    nodes = checkpointed(placed.groupBy("cls", "bin").agg(F.min("k").alias("node"), F.count("*").alias("n"), F.min("line").alias("lo"), F.max("line").alias("hi")))
+    similar = similar_classes(sigs, threshold, bands, rows, size)
+    links = similar.unionByName(nodes.select("cls").distinct().select(F.col("cls").alias("c1"), F.col("cls").alias("c2")))
+    known, unknown = nodes.where("bin is not null"), nodes.where("bin is null").select("cls", "node")
+    a = links.join(known.select(F.col("cls").alias("c1"), F.col("node").alias("u"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"), F.explode(F.expr("array(bin - 1, bin, bin + 1)")).alias("bin")), "c1")
+    met = a.join(known.select(F.col("cls").alias("c2"), "bin", F.col("node").alias("v"), "lo", "hi"), ["c2", "bin"]).where(f"u <> v and lo - hi1 <= {line_gap} and lo1 - hi <= {line_gap}").select("u", "v")
+    both = links.unionByName(links.where("c1 <> c2").select(F.col("c2").alias("c1"), F.col("c1").alias("c2")))
+    any_ = both.join(unknown.select(F.col("cls").alias("c1"), F.col("node").alias("u")), "c1").join(nodes.select(F.col("cls").alias("c2"), F.col("node").alias("v")), "c2").where("u <> v").select("u", "v")
+    edges = checkpointed(met.unionByName(any_).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    found = components(edges, "u", "v").withColumnsRenamed({"node": "u"})
+    degree = edges.select("u").unionByName(edges.select(F.col("v").alias("u"))).groupBy("u").agg(F.count("*").alias("n_links"))
+    at = nodes.select(F.col("node").alias("u"), "cls", "bin", "n").join(found, "u", "left").join(degree, "u", "left").withColumn("component", F.coalesce("component", "u"))
+    total = at.groupBy("component").agg(F.sum("n").alias("n_members")).where("n_members > 1")
+    at = at.join(total, "component").select("cls", "bin", "component", "n_members", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    own = placed.select("cls", "bin", "k").join(at.withColumnsRenamed({"cls": "_c", "bin": "_b"}), (F.col("cls") == F.col("_c")) & F.col("bin").eqNullSafe(F.col("_b")))
+    return own.select(F.col("k").alias("node"), "component", "n_members", "n_links")

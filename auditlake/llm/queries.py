@@ -58,8 +58,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The group of each record that is reported again."""
-    g = neardup.groups(p4_found(spark, sf_dir), "arrival_seq_a", "arrival_seq_b")
-    return g.select(F.col("node").alias("arrival_seq"), F.col("component").alias("group_id"), "n_members")
+    g = neardup.near_groups(table(spark, sf_dir, "agent_results"))
+    return g.select(F.col("node").alias("arrival_seq"), F.col("component").alias("group_id"), "n_members", "n_links")
 
 
 def p5_failures(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,15 +39,12 @@ def test_against_brute_force(spark):
     assert not got - want
     assert len(want - got) <= len(want) * 0.002 and len(want) > 500
     assert (903, 904) in got
+    cut = {(r.a, r.b) for r in N.near_pairs(df, size=3).collect()}  # nearly every bucket and class in slices
+    assert cut == got
+    assert grouped(N.near_groups(df)) == grouped(N.near_groups(df, size=3)) == parts(got)
 
 
-def test_empty(spark):
-    assert N.near_pairs(spark.createDataFrame([], SCHEMA)).count() == 0
-
-
-def test_components(spark):
-    rng = random.Random(2)
-    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(300 + i, 301 + i) for i in range(40)] + [(7, 7), (None, 3)]
+def parts(pairs):
     parent = {}
 
     def find(x):
@@ -55,11 +52,37 @@ def test_components(spark):
             x = parent[x]
         return x
 
-    for a, b in edges:
-        if a is not None and a != b:
-            a, b = find(a), find(b)
-            parent[max(a, b)] = min(a, b)
-    want = {x: find(x) for a, b in edges if a is not None and a != b for x in (a, b)}
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    return {x: find(x) for x in parent}
+
+
+def grouped(df):
+    rows = df.collect()
+    out = {r.node: r.component for r in rows}
+    assert len(out) == len(rows)
+    assert all(r.n_members == sum(c == r.component for c in out.values()) for r in rows[:20])
+    return out
+
+
+def test_many_copies_are_few_nodes(spark):
+    rows = [(i, "t", "one two three four", "a.py", (i % 40) * 30 if i % 3 else None, "x") for i in range(3000)]
+    got = grouped(N.near_groups(spark.createDataFrame(rows, SCHEMA)))
+    assert len(got) == 3000 and set(got.values()) == {0}
+    apart = grouped(N.near_groups(spark.createDataFrame([r for r in rows if r[4] is not None and r[4]], SCHEMA)))
+    assert len(set(apart.values())) == 39
+
+
+def test_empty(spark):
+    assert N.near_pairs(spark.createDataFrame([], SCHEMA)).count() == 0
+    assert N.near_groups(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_components(spark):
+    rng = random.Random(2)
+    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(300 + i, 301 + i) for i in range(40)] + [(7, 7), (None, 3)]
+    want = parts({(a, b) for a, b in edges if a is not None and a != b})
     got = {r.node: r.component for r in K.components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
     assert got == want
     assert K.components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
