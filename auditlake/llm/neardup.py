@@ -2,16 +2,16 @@
 
 A report's set is the words of title and description together. Reports of one file name (the path's last component, case ignored) and
 one set are a class of copies. For each class ``bands`` x ``rows`` minima of universal hashes (odd multiplier, added constant, upper
-half) are taken over the set; the minima of a band, with the file name, are a bucket key. Classes of a bucket whose sketches (two bits
-of each of 64 minima) don't rule it out are candidates, which are compared on their whole sets of 32-bit word hashes. Records of a class, or of two similar classes, are linked if their lines are
+half) are taken over the set; the minima of a band, with the file name, are a bucket key. Classes of a bucket whose lines come near and whose sketches (one bit
+of each of 128 minima) don't rule it out are candidates, which are compared on their whole sets of 32-bit word hashes. Records of a class, or of two similar classes, are linked if their lines are
 near: through bins of ``line_gap + 1`` lines.
 
 Hot keys are split without loss: a bucket of more than about ``SLICE`` classes (found on every 64th class) is cut into slices that meet
 two by two under keys of their own, and so are the members of a class of more than ``SLICE`` records. Groups need no pairs of records:
 the records of a class in one bin are one node, and only the nodes are linked, so copies cost what their number is.
 
-At the threshold of 0.7 a pair is missed with a probability of (1 - 0.7^3)^20, about 1 in 4,500, by the bands; the sketches
-(at most 31 of 64 fields may differ) add 1.4 in a million by a binomial count. Above it both are far less.
+At the threshold of 0.7 a pair is missed with a probability of (1 - 0.7^3)^20, about 1 in 4,500, by the bands; the sketches add at most
+``SKETCH_MISS``, 1 in 100,000, by a binomial count. Above the threshold both are far less.
 
 Defined results: a null or empty description, a null path or a null key take no part; a null title counts as empty; a line that is null
 or 0 is near to any; rows with one key are one record. Empty tables give no rows; other columns aren't read.
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +32,11 @@ from pyspark.sql import functions as F
 from auditlake.llm.components import components
 from auditlake.session import checkpointed, spread
 
-THRESHOLD, LINE_GAP, BANDS, ROWS, SKETCH, SEED = 0.7, 8, 20, 3, 64, 7919
+THRESHOLD, LINE_GAP, BANDS, ROWS, SKETCH, SKETCH_MISS, SEED = 0.7, 8, 20, 3, 128, 1e-5, 7919
 WORD = re.compile(r"[a-z0-9_]+")
 NO_LINE, ANY_LINE = -1, -2
-#: Classes of a bucket, and records of a class, that one key holds; bytes of band rows to a partition, and of more than ``MANY`` partitions.
-SLICE, PART_BYTES, MANY, MANY_BYTES = 4096, 8 << 20, 10_000, 128 << 20
+#: Classes of a bucket, and records of a class, that one key holds; bytes of band rows to a partition at most.
+SLICE, PART_BYTES = 4096, 64 << 20
 
 
 def hash_family(n: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
@@ -86,8 +87,8 @@ def word_sets(df: DataFrame, key: str) -> DataFrame:
     return spread(cols).mapInArrow(run, f"k {kind}, line int, cls long, base long, words array<int>")
 
 
-def band_rows(sets: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(band, cls, s0, s1): a bucket key of each band, and the sketch of the class: two bits of each of ``SKETCH`` minima."""
+def band_rows(classes: DataFrame, bands: int, rows: int) -> DataFrame:
+    """(band, cls, s0, s1, lines): a bucket key of each band, the sketch of the class (a bit of each of ``SKETCH`` minima), and its first line and the number of lines that follow to its last."""
     n = bands * rows
     family = hash_family(max(n, SKETCH))
 
@@ -106,14 +107,11 @@ def band_rows(sets: DataFrame, bands: int, rows: int) -> DataFrame:
             for r in range(rows):
                 keys = (keys ^ low[:, r:n:rows].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
                 keys ^= keys >> np.uint64(29)
-            two = (low[:, :SKETCH] & np.uint32(3)).astype(np.uint64)
-            half = SKETCH // 2
-            place = np.arange(half, dtype=np.uint64) * np.uint64(2)
-            cols = [(two[:, h * half : (h + 1) * half] << place).sum(1, dtype=np.uint64).view(np.int64) for h in (0, 1)]
-            cls = np.asarray(b.column(0))[full]
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()), *(pa.array(np.repeat(c, bands)) for c in (cls, *cols))], names=["band", "cls", "s0", "s1"])
+            bits = np.packbits((low[:, :SKETCH] & np.uint32(1)).astype(np.uint8), axis=1).view(np.int64)
+            cls, lines = (np.asarray(b.column(i))[full] for i in (0, 3))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()), *(pa.array(np.repeat(c, bands)) for c in (cls, bits[:, 0], bits[:, 1], lines))], names=["band", "cls", "s0", "s1", "lines"])
 
-    return sets.select("cls", "base", "words").mapInArrow(run, "band long, cls long, s0 long, s1 long")
+    return classes.select("cls", "base", "words", F.expr("shiftleft(bigint(lo), 32) | (bigint(hi) - bigint(lo))").alias("lines")).mapInArrow(run, "band long, cls long, s0 long, s1 long, lines long")
 
 
 def _small(df: DataFrame, n: int, most: int = 200_000) -> DataFrame:
@@ -129,27 +127,33 @@ def _sliced(buckets: DataFrame, sample: DataFrame, size: int) -> tuple[DataFrame
         return buckets, False
     x = buckets.join(_small(hot, n), "band", "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
     x = x.withColumn("s", F.pmod(F.xxhash64("cls"), F.col("slices")).cast("int")).withColumn("t", F.explode(F.expr("sequence(0, slices - 1)")))
-    return x.select(F.xxhash64("band", F.least("s", "t"), F.greatest("s", "t")).alias("cell"), F.col("band"), "cls", "s0", "s1", F.when(F.col("s") != F.col("t"), F.col("s")).otherwise(-1).alias("s")), True
+    return x.select(F.xxhash64("band", F.least("s", "t"), F.greatest("s", "t")).alias("cell"), F.col("band"), "cls", "s0", "s1", "lines", F.when(F.col("s") != F.col("t"), F.col("s")).otherwise(-1).alias("s")), True
 
 
-def similar_classes(sets: DataFrame, threshold: float, bands: int, rows: int, size: int = SLICE) -> DataFrame:
-    """(c1, c2), c1 < c2: the classes that share a bucket, whose sketches don't rule it out, and whose sets reach the threshold."""
-    classes = sets.groupBy("cls").agg(F.any_value("base").alias("base"), F.any_value("words").alias("words"))
-    count = sets.count()
-    want = count * bands * 32
-    n = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MANY, -(-want // PART_BYTES)), -(-want // MANY_BYTES))
+def _classes(sets: DataFrame) -> DataFrame:
+    """(cls, base, words, lo, hi): the classes, with the lines that they span; all lines if one is unknown."""
+    line = F.nullif("line", F.lit(0))
+    open_ = F.bool_or(line.isNull())
+    edge = lambda f, far: F.when(open_, F.lit(far)).otherwise(f(line)).cast("int")
+    return sets.groupBy("cls").agg(F.any_value("base").alias("base"), F.any_value("words").alias("words"), edge(F.min, -(1 << 31)).alias("lo"), edge(F.max, (1 << 31) - 1).alias("hi"))
+
+
+def similar_classes(sets: DataFrame, threshold: float, line_gap: int, bands: int, rows: int, size: int = SLICE) -> DataFrame:
+    """(c1, c2), c1 < c2: the classes that share a bucket, whose lines may be near, whose sketches don't rule it out, and whose sets reach the threshold."""
+    classes = _classes(sets)
+    n = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-sets.count() * bands * 40 // PART_BYTES))
     buckets = band_rows(classes, bands, rows)
-    sample = band_rows(sets.where("pmod(cls, 64) = 0").dropDuplicates(["cls"]), bands, rows)
+    sample = band_rows(_classes(sets.where("pmod(cls, 64) = 0")), bands, rows)
     buckets, cut = _sliced(buckets, sample, size)
     key = ["cell", "band"] if cut else ["band"]
     buckets = buckets.repartition(n, *key)
-    x = buckets.withColumnsRenamed({"cls": "c1", "s0": "x0", "s1": "x1", "s": "t1"})
-    y = buckets.withColumnsRenamed({"cls": "c2", "s0": "y0", "s1": "y1", "s": "t2"})
-    half = int("01" * (SKETCH // 2), 2)
-    differ = lambda i: f"bit_count((((x{i} ^ y{i}) | shiftrightunsigned(x{i} ^ y{i}, 1)) & {half}L))"
+    x = buckets.withColumnsRenamed({"cls": "c1", "s0": "x0", "s1": "x1", "s": "t1", "lines": "l1"})
+    y = buckets.withColumnsRenamed({"cls": "c2", "s0": "y0", "s1": "y1", "s": "t2", "lines": "l2"})
     # Two slices meet in a cell for their mixed pairs alone; -1 marks the cell of a slice with itself.
     mixed = "(t1 = -1 and t2 = -1 or t1 <> t2)" if cut else "true"
-    pairs = x.join(y, key).where(f"c1 < c2 and {mixed} and {differ(0)} + {differ(1)} <= {most_differing(threshold)}").select("c1", "c2").distinct()
+    first, last = (lambda i: f"shiftright(l{i}, 32)"), (lambda i: f"shiftright(l{i}, 32) + (l{i} & 4294967295)")
+    lines = f"{first(1)} - {line_gap} <= {last(2)} and {first(2)} - {line_gap} <= {last(1)}"
+    pairs = x.join(y, key).where(f"c1 < c2 and {lines} and {mixed} and bit_count(x0 ^ y0) + bit_count(x1 ^ y1) <= {most_differing(threshold)}").select("c1", "c2").distinct()
     words = classes.select("cls", F.col("words").alias("w"))
     both = pairs.join(words.withColumnsRenamed({"cls": "c1", "w": "w1"}), "c1").join(words.withColumnsRenamed({"cls": "c2", "w": "w2"}), "c2")
     common = F.size(F.array_intersect("w1", "w2"))
@@ -158,10 +162,13 @@ def similar_classes(sets: DataFrame, threshold: float, bands: int, rows: int, si
     return both.where(near).select("c1", "c2")
 
 
-def most_differing(threshold: float) -> int:
-    """Sketch fields in which a pair at the threshold differs at most, but for five standard deviations."""
-    p = (1 - threshold) * 3 / 4
-    return round(SKETCH * p + 5 * (SKETCH * p * (1 - p)) ** 0.5)
+def most_differing(threshold: float, miss: float = SKETCH_MISS) -> int:
+    """The least number of sketch bits that a pair at the threshold exceeds with a probability below ``miss``: its minima differ with 1 - threshold, and then half of their bits."""
+    p = (1 - threshold) / 2
+    k, tail = SKETCH, 0.0
+    while k > 0 and (tail := tail + comb(SKETCH, k) * p**k * (1 - p) ** (SKETCH - k)) < miss:
+        k -= 1
+    return k
 
 
 def _members(sets: DataFrame) -> DataFrame:
@@ -185,7 +192,7 @@ def _cut_members(members: DataFrame, links: DataFrame, size: int) -> tuple[DataF
 def near_pairs(df: DataFrame, key: str = "arrival_seq", threshold: float = THRESHOLD, line_gap: int = LINE_GAP, bands: int = BANDS, rows: int = ROWS, size: int = SLICE) -> DataFrame:
     """(a, b), a < b: every pair of records of one report."""
     sigs = checkpointed(word_sets(df, key))
-    similar = similar_classes(sigs, threshold, bands, rows, size)
+    similar = similar_classes(sigs, threshold, line_gap, bands, rows, size)
     members = _members(sigs)
     copies = members.groupBy("cls").agg(F.min("k").alias("x"), F.max("k").alias("y")).where("x < y")
     links = similar.unionByName(copies.select(F.col("cls").alias("c1"), F.col("cls").alias("c2")))
@@ -194,9 +201,11 @@ def near_pairs(df: DataFrame, key: str = "arrival_seq", threshold: float = THRES
     left_keys = F.when(F.col("line").isNull(), F.array(F.lit(ANY_LINE).cast("long"))).otherwise(F.array(F.lit(NO_LINE).cast("long"), bin_ * 4, (bin_ - 1) * 4, (bin_ + 1) * 4))
     right_keys = F.when(F.col("line").isNull(), F.array(F.lit(NO_LINE).cast("long"), F.lit(ANY_LINE).cast("long"))).otherwise(F.array(bin_ * 4, F.lit(ANY_LINE).cast("long")))
     left = links.join(members.withColumnsRenamed({"cls": "c1", "k": "ka", "line": "la", "s": "s1"}), ["c1", "s1"])
-    left = left.withColumn("line", F.col("la")).withColumn("at", F.explode(left_keys)).select("c1", "c2", "s2", "ka", "la", "at")
-    right = members.withColumn("at", F.explode(right_keys)).select(F.col("cls").alias("c2"), F.col("s").alias("s2"), "at", F.col("k").alias("kb"), F.col("line").alias("lb"))
-    met = left.join(right, ["c2", "s2", "at"]).where("(c1 <> c2 or ka < kb) and ka <> kb")
+    right = links.join(members.withColumnsRenamed({"cls": "c2", "k": "kb", "line": "lb", "s": "s2"}), ["c2", "s2"])
+    cell = ["c1", "s1", "c2", "s2"]
+    left = left.withColumn("line", F.col("la")).select(*cell, "ka", "la", F.explode(left_keys).alias("at"))
+    right = right.withColumn("line", F.col("lb")).select(*cell, "kb", "lb", F.explode(right_keys).alias("at"))
+    met = left.join(right, [*cell, "at"]).where("(c1 <> c2 or ka < kb) and ka <> kb")
     met = met.where(F.col("la").isNull() | F.col("lb").isNull() | (F.abs(F.col("la") - F.col("lb")) <= line_gap))
     return met.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")).distinct()
 
@@ -212,7 +221,7 @@ def near_groups(df: DataFrame, key: str = "arrival_seq", threshold: float = THRE
     bin_ = F.floor(F.col("line") / (line_gap + 1))
     placed = _members(sigs).withColumn("bin", bin_)
     nodes = checkpointed(placed.groupBy("cls", "bin").agg(F.min("k").alias("node"), F.count("*").alias("n"), F.min("line").alias("lo"), F.max("line").alias("hi")))
-    similar = similar_classes(sigs, threshold, bands, rows, size)
+    similar = similar_classes(sigs, threshold, line_gap, bands, rows, size)
     links = similar.unionByName(nodes.select("cls").distinct().select(F.col("cls").alias("c1"), F.col("cls").alias("c2")))
     known, unknown = nodes.where("bin is not null"), nodes.where("bin is null").select("cls", "node")
     a = links.join(known.select(F.col("cls").alias("c1"), F.col("node").alias("u"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"), F.explode(F.expr("array(bin - 1, bin, bin + 1)")).alias("bin")), "c1")
