@@ -26,7 +26,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.llm.components import components
@@ -153,13 +153,21 @@ def similar_classes(sets: DataFrame, threshold: float, line_gap: int, bands: int
     mixed = "(t1 = -1 and t2 = -1 or t1 <> t2)" if cut else "true"
     first, last = (lambda i: f"shiftright(l{i}, 32)"), (lambda i: f"shiftright(l{i}, 32) + (l{i} & 4294967295)")
     lines = f"{first(1)} - {line_gap} <= {last(2)} and {first(2)} - {line_gap} <= {last(1)}"
-    pairs = x.join(y, key).where(f"c1 < c2 and {lines} and {mixed} and bit_count(x0 ^ y0) + bit_count(x1 ^ y1) <= {most_differing(threshold)}").select("c1", "c2").distinct()
+    pairs = x.join(y, key).where(f"c1 < c2 and {lines} and {mixed} and bit_count(x0 ^ y0) + bit_count(x1 ^ y1) <= {most_differing(threshold)}").select("c1", "c2").repartition("c1").distinct()
+    # Half of each word's hash goes first: what it has in common, and one for each two words of a set that fall together, bounds what the words have.
+    half = F.array_distinct(F.transform("words", lambda w: w.cast("short")))
+    halves = classes.select("cls", half.alias("h"), F.size("words").alias("n"))
+    both = pairs.join(halves.withColumnsRenamed({"cls": "c1", "h": "h1", "n": "n1"}), "c1").join(halves.withColumnsRenamed({"cls": "c2", "h": "h2", "n": "n2"}), "c2")
+    most = F.size(F.array_intersect("h1", "h2")) + F.col("n1") - F.size("h1")
+    pairs = both.where(_reach(most, F.col("n1"), F.col("n2"), threshold)).select("c1", "c2")
     words = classes.select("cls", F.col("words").alias("w"))
     both = pairs.join(words.withColumnsRenamed({"cls": "c1", "w": "w1"}), "c1").join(words.withColumnsRenamed({"cls": "c2", "w": "w2"}), "c2")
-    common = F.size(F.array_intersect("w1", "w2"))
-    # In whole numbers, so that a pair at the threshold isn't lost to rounding.
-    near = common * 1000 >= (F.size("w1") + F.size("w2") - common) * round(threshold * 1000)
-    return both.where(near).select("c1", "c2")
+    return both.where(_reach(F.size(F.array_intersect("w1", "w2")), F.size("w1"), F.size("w2"), threshold)).select("c1", "c2")
+
+
+def _reach(common: Column, n1: Column, n2: Column, threshold: float) -> Column:
+    """Two sets with so much in common reach the threshold; in whole numbers, so that a pair at the threshold isn't lost to rounding."""
+    return common * 1000 >= (n1 + n2 - common) * round(threshold * 1000)
 
 
 def most_differing(threshold: float, miss: float = SKETCH_MISS) -> int:
@@ -172,16 +180,16 @@ def most_differing(threshold: float, miss: float = SKETCH_MISS) -> int:
 
 
 def _members(sets: DataFrame) -> DataFrame:
-    """(cls, k, line): each record once; an unknown line is null."""
-    return sets.select("cls", "k", F.when(F.col("line") != 0, F.col("line")).alias("line")).distinct()
+    """(cls, k, line): each record once, partitioned by class; an unknown line is null."""
+    return sets.select("cls", "k", F.when(F.col("line") != 0, F.col("line")).alias("line")).repartition("cls").distinct()
 
 
 def _cut_members(members: DataFrame, links: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
-    """Members with a slice s of their class, and links for every two slices (s1, s2); only classes of more than ``size`` records are cut."""
+    """Members with a slice s of their class, and links for every two slices (s1, s2), if any class has more than ``size`` records; only those are cut."""
     hot = checkpointed(members.groupBy("cls").agg(F.count("*").alias("n")).where(F.col("n") > size).select("cls", F.ceil(F.col("n") / size).cast("int").alias("slices")))
     n = hot.count()
     if not n:
-        return members.withColumn("s", F.lit(0)), links.withColumns({"s1": F.lit(0), "s2": F.lit(0)})
+        return members, links
     small = _small(hot, n)
     members = members.join(small, "cls", "left").withColumn("s", F.pmod(F.xxhash64("k"), F.coalesce("slices", F.lit(1))).cast("int")).drop("slices")
     for c, s in (("c1", "s1"), ("c2", "s2")):
@@ -200,9 +208,11 @@ def near_pairs(df: DataFrame, key: str = "arrival_seq", threshold: float = THRES
     bin_ = F.floor(F.col("line") / (line_gap + 1))
     left_keys = F.when(F.col("line").isNull(), F.array(F.lit(ANY_LINE).cast("long"))).otherwise(F.array(F.lit(NO_LINE).cast("long"), bin_ * 4, (bin_ - 1) * 4, (bin_ + 1) * 4))
     right_keys = F.when(F.col("line").isNull(), F.array(F.lit(NO_LINE).cast("long"), F.lit(ANY_LINE).cast("long"))).otherwise(F.array(bin_ * 4, F.lit(ANY_LINE).cast("long")))
-    left = links.join(members.withColumnsRenamed({"cls": "c1", "k": "ka", "line": "la", "s": "s1"}), ["c1", "s1"])
-    right = links.join(members.withColumnsRenamed({"cls": "c2", "k": "kb", "line": "lb", "s": "s2"}), ["c2", "s2"])
-    cell = ["c1", "s1", "c2", "s2"]
+    keys = ["cls", "s"] if "s" in members.columns else ["cls"]
+    by = {"cls": ["c1", "c2"], "s": ["s1", "s2"]}
+    left = links.join(members.withColumnsRenamed({"k": "ka", "line": "la"} | {c: by[c][0] for c in keys}), [by[c][0] for c in keys])
+    right = links.join(members.withColumnsRenamed({"k": "kb", "line": "lb"} | {c: by[c][1] for c in keys}), [by[c][1] for c in keys])
+    cell = [x for c in keys for x in by[c]]
     left = left.withColumn("line", F.col("la")).select(*cell, "ka", "la", F.explode(left_keys).alias("at"))
     right = right.withColumn("line", F.col("lb")).select(*cell, "kb", "lb", F.explode(right_keys).alias("at"))
     met = left.join(right, [*cell, "at"]).where("(c1 <> c2 or ka < kb) and ka <> kb")
