@@ -155,7 +155,7 @@ def similar_classes(sets: DataFrame, threshold: float, line_gap: int, bands: int
     lines = f"{first(1)} - {line_gap} <= {last(2)} and {first(2)} - {line_gap} <= {last(1)}"
     pairs = x.join(y, key).where(f"c1 < c2 and {lines} and {mixed} and bit_count(x0 ^ y0) + bit_count(x1 ^ y1) <= {most_differing(threshold)}").select("c1", "c2").repartition("c1").distinct()
     # Half of each word's hash goes first: what it has in common, and one for each two words of a set that fall together, bounds what the words have.
-    half = F.array_distinct(F.transform("words", lambda w: w.cast("short")))
+    half = F.array_distinct(F.transform("words", lambda w: (w.bitwiseAND(65535) - 32768).cast("short")))
     halves = classes.select("cls", half.alias("h"), F.size("words").alias("n"))
     both = pairs.join(halves.withColumnsRenamed({"cls": "c1", "h": "h1", "n": "n1"}), "c1").join(halves.withColumnsRenamed({"cls": "c2", "h": "h2", "n": "n2"}), "c2")
     most = F.size(F.array_intersect("h1", "h2")) + F.col("n1") - F.size("h1")
