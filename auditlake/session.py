@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -18,6 +20,7 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, **conf: str
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", "12g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
@@ -33,22 +36,59 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df.checkpoint()`` into the folder that ``spark.checkpoint.dir`` names; a temporary folder only where it is unset (local tests)."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder: the one that ``spark.checkpoint.dir`` names; a temporary one only in a local session that has none."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         shared = sc.getConf().get("spark.checkpoint.dir", None)
+        if shared is None and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "auditlake-checkpoints"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df.checkpoint()`` into the shared folder; Spark removes it with the frame where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder: smaller than a checkpoint, and read by column; removed when the session's JVM ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over at least as many partitions as there are cores, for CPU-heavy steps.
 
-    A scan of a large table has enough splits and is left alone; only a table in few files is redistributed.
+    The files of its tables tell how many splits a scan has, so nothing is planned or run: a large table has enough and is left alone,
+    one in few files is redistributed.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    most, opening = (_bytes(spark.conf.get(f"spark.sql.files.{k}")) for k in ("maxPartitionBytes", "openCostInBytes"))
+    total = _input_bytes(df) + len(df.inputFiles()) * opening
+    splits = total / min(most, max(opening, total / cores))
+    return df if splits > cores - 0.5 else df.repartition(cores)
+
+
+def _bytes(text: str) -> int:
+    m = re.fullmatch(r"(\d+)\s*([kmgt]?)b?", text.strip().lower())
+    return int(m.group(1)) * 1024 ** " kmgt".index(m.group(2) or " ")
+
+
+def _input_bytes(df: DataFrame) -> int:
+    """The size of the plan's leaves, by the optimizer's statistics of its files."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves().iterator()
+    total = 0
+    while leaves.hasNext():
+        total += int(str(leaves.next().stats().sizeInBytes()))
+    return total
 
 
 def empty(spark: SparkSession, schema: str | T.StructType) -> DataFrame:
