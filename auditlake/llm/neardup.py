@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.llm.components import components
-from auditlake.session import checkpointed, spread
+from auditlake.session import checkpointed, spread, stored
 
 THRESHOLD, LINE_GAP, BANDS, ROWS, SKETCH, SKETCH_MISS, SEED = 0.7, 8, 20, 3, 128, 1e-5, 7919
 WORD = re.compile(r"[a-z0-9_]+")
@@ -199,7 +199,7 @@ def _cut_members(members: DataFrame, links: DataFrame, size: int) -> tuple[DataF
 
 def near_pairs(df: DataFrame, key: str = "arrival_seq", threshold: float = THRESHOLD, line_gap: int = LINE_GAP, bands: int = BANDS, rows: int = ROWS, size: int = SLICE) -> DataFrame:
     """(a, b), a < b: every pair of records of one report."""
-    sigs = checkpointed(word_sets(df, key))
+    sigs = stored(word_sets(df, key))
     similar = similar_classes(sigs, threshold, line_gap, bands, rows, size)
     members = _members(sigs)
     copies = members.groupBy("cls").agg(F.min("k").alias("x"), F.max("k").alias("y")).where("x < y")
@@ -227,7 +227,7 @@ def near_groups(df: DataFrame, key: str = "arrival_seq", threshold: float = THRE
     node that every bin of the class is linked to. Nodes of one bin are linked if their classes are similar, nodes of neighbouring bins
     if their nearest lines are. ``n_links`` counts the linked nodes of a record's node.
     """
-    sigs = checkpointed(word_sets(df, key))
+    sigs = stored(word_sets(df, key))
     bin_ = F.floor(F.col("line") / (line_gap + 1))
     placed = _members(sigs).withColumn("bin", bin_)
     nodes = checkpointed(placed.groupBy("cls", "bin").agg(F.min("k").alias("node"), F.count("*").alias("n"), F.min("line").alias("lo"), F.max("line").alias("hi")))
