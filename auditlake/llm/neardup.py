@@ -7,7 +7,7 @@ of each of 128 minima) don't rule it out are candidates, which are compared on t
 near: through bins of ``line_gap + 1`` lines.
 
 Hot keys are split without loss: a bucket of more than about ``SLICE`` classes (found on every 64th class) is cut into slices that meet
-two by two under keys of their own, and so are the members of a class of more than ``SLICE`` records. Groups need no pairs of records:
+two by two under keys of their own, and so are the members of a class of more than ``SLICE`` records (found on every 64th record). Groups need no pairs of records:
 the records of a class in one bin are one node, and only the nodes are linked, so copies cost what their number is.
 
 At the threshold of 0.7 a pair is missed with a probability of (1 - 0.7^3)^20, about 1 in 4,500, by the bands; the sketches add at most
@@ -184,9 +184,12 @@ def _members(sets: DataFrame) -> DataFrame:
     return sets.select("cls", "k", F.when(F.col("line") != 0, F.col("line")).alias("line")).repartition("cls").distinct()
 
 
-def _cut_members(members: DataFrame, links: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
-    """Members with a slice s of their class, and links for every two slices (s1, s2), if any class has more than ``size`` records; only those are cut."""
-    hot = checkpointed(members.groupBy("cls").agg(F.count("*").alias("n")).where(F.col("n") > size).select("cls", F.ceil(F.col("n") / size).cast("int").alias("slices")))
+def _cut_members(sets: DataFrame, members: DataFrame, links: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """Members with a slice s of their class, and links for every two slices (s1, s2), if a sample shows a class of more than ``size`` records; only those are cut."""
+    every = min(64, size)
+    n_ = F.col("n") * every
+    sample = sets.where(F.pmod(F.xxhash64("k"), F.lit(every)) == 0).groupBy("cls").agg(F.count("*").alias("n"))
+    hot = checkpointed(sample.where(n_ > size).select("cls", F.ceil(n_ / size).cast("int").alias("slices")))
     n = hot.count()
     if not n:
         return members, links
@@ -204,7 +207,7 @@ def near_pairs(df: DataFrame, key: str = "arrival_seq", threshold: float = THRES
     members = _members(sigs)
     copies = members.groupBy("cls").agg(F.min("k").alias("x"), F.max("k").alias("y")).where("x < y")
     links = similar.unionByName(copies.select(F.col("cls").alias("c1"), F.col("cls").alias("c2")))
-    members, links = _cut_members(members, links, size)
+    members, links = _cut_members(sigs, members, links, size)
     bin_ = F.floor(F.col("line") / (line_gap + 1))
     left_keys = F.when(F.col("line").isNull(), F.array(F.lit(ANY_LINE).cast("long"))).otherwise(F.array(F.lit(NO_LINE).cast("long"), bin_ * 4, (bin_ - 1) * 4, (bin_ + 1) * 4))
     right_keys = F.when(F.col("line").isNull(), F.array(F.lit(NO_LINE).cast("long"), F.lit(ANY_LINE).cast("long"))).otherwise(F.array(bin_ * 4, F.lit(ANY_LINE).cast("long")))
