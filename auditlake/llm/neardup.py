@@ -154,6 +154,8 @@ def similar_classes(sets: DataFrame, threshold: float, line_gap: int, bands: int
     first, last = (lambda i: f"shiftright(l{i}, 32)"), (lambda i: f"shiftright(l{i}, 32) + (l{i} & 4294967295)")
     lines = f"{first(1)} - {line_gap} <= {last(2)} and {first(2)} - {line_gap} <= {last(1)}"
     pairs = x.join(y, key).where(f"c1 < c2 and {lines} and {mixed} and bit_count(x0 ^ y0) + bit_count(x1 ^ y1) <= {most_differing(threshold)}").select("c1", "c2").repartition("c1").distinct()
+    # Reading every column, as the band rows do, lets one exchange of the classes serve all.
+    classes = classes.where("base is not null and lo <= hi")
     # Half of each word's hash goes first: what it has in common, and one for each two words of a set that fall together, bounds what the words have.
     half = F.array_distinct(F.transform("words", lambda w: (w.bitwiseAND(65535) - 32768).cast("short")))
     halves = classes.select("cls", half.alias("h"), F.size("words").alias("n"))
