@@ -135,7 +135,7 @@ def _classes(sets: DataFrame) -> DataFrame:
     line = F.nullif("line", F.lit(0))
     open_ = F.bool_or(line.isNull())
     edge = lambda f, far: F.when(open_, F.lit(far)).otherwise(f(line)).cast("int")
-    return sets.groupBy("cls").agg(F.any_value("base").alias("base"), F.any_value("words").alias("words"), edge(F.min, -(1 << 31)).alias("lo"), edge(F.max, (1 << 31) - 1).alias("hi"))
+    return sets.where("cls is not null").groupBy("cls").agg(F.any_value("base").alias("base"), F.any_value("words").alias("words"), edge(F.min, -(1 << 31)).alias("lo"), edge(F.max, (1 << 31) - 1).alias("hi"))
 
 
 def similar_classes(sets: DataFrame, threshold: float, line_gap: int, bands: int, rows: int, size: int = SLICE) -> DataFrame:
