@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from auditlake.functions.scalars import SEVERITIES, in_domain, score_tenths, severity_weight
 
-# The order in which producers' findings are united, and the routes of signals.
+# The order in which producers' findings are united, and the routes of signals (two under the tables' names as well).
 PRODUCERS = ["style", "security", "architecture", "performance", "refactor"]
 ROUTES = [
+    ("architecture", "dependency_direction", "security", "focus_area"),
+    ("architecture", "coupling", "performance", "focus_area"),
     ("architecture", "cyclic_dependency", "security", "focus_area"),
     ("architecture", "tight_coupling", "performance", "focus_area"),
     ("architecture", "interface_design", "refactor", "suspected_issue"),

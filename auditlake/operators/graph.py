@@ -5,21 +5,51 @@ from __future__ import annotations
 from collections import defaultdict
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.session import checkpointed
 
-# Top-level names that are no modules of a project.
-STANDARD = ["os", "sys", "re", "json", "logging", "typing", "dataclasses", "collections", "functools", "itertools", "datetime", "pathlib", "asyncio", "__future__", "abc", "math", "time", "random", "subprocess", "threading", "unittest", "pytest"]
+# Top-level names of standard and third-party libraries, by language.
+EXTERNAL = {
+    "python": [
+        "os", "sys", "re", "json", "math", "datetime", "collections", "itertools", "functools", "typing", "abc", "pathlib", "io", "subprocess", "logging", "hashlib", "base64", "uuid", "copy",
+        "enum", "dataclasses", "asyncio", "threading", "multiprocessing", "http", "urllib", "socket", "ssl", "email", "csv", "xml", "argparse", "configparser", "unittest", "traceback", "warnings",
+        "contextlib", "inspect", "ast", "textwrap", "shutil", "tempfile", "pickle", "marshal", "struct", "sqlite3", "random", "statistics", "time", "platform", "signal", "atexit", "gc", "types",
+        "fastapi", "uvicorn", "sqlalchemy", "alembic", "pydantic", "langgraph", "langchain", "litellm", "starlette", "networkx", "tree_sitter", "semgrep", "radon", "redis", "celery",
+        "httpx", "tiktoken", "opentelemetry", "prometheus_client", "websockets", "git", "numpy", "pandas", "requests", "aiohttp", "transformers", "torch", "tensorflow",
+    ],
+    "go": [
+        "fmt", "os", "io", "net", "http", "strings", "strconv", "errors", "context", "sync", "time", "math", "sort", "path", "filepath", "encoding", "crypto", "log", "runtime", "reflect", "unsafe",
+        "database", "testing", "flag", "bytes", "bufio", "regexp", "github", "golang.org", "gopkg.in", "google.golang.org",
+    ],
+    "typescript": ["react", "vue", "axios", "lodash", "express", "next", "nuxt", "typescript", "rxjs", "moment", "uuid", "zod", "yup", "fs", "path", "http", "https", "crypto", "os", "url", "util", "child_process", "stream", "events", "buffer", "querystring"],
+    "javascript": ["react", "vue", "axios", "lodash", "express", "next", "nuxt", "moment", "uuid", "zod", "yup", "chalk", "commander", "fs", "path", "http", "https", "crypto", "os", "url", "util", "child_process", "stream", "events", "buffer", "querystring"],
+    "java": ["java", "javax", "org", "com", "sun", "jdk", "spring", "hibernate", "apache", "junit", "mockito", "lombok", "slf4j", "log4j", "jackson", "gson", "guava", "reactor"],
+}
+
+
+def resolved(imported: Column, language: Column) -> Column:
+    """The dotted module that an import of the language names; null for standard and third-party libraries."""
+    slashed = language.isin("go", "typescript", "javascript")
+    top = F.when(slashed, F.substring_index(imported, "/", 1)).otherwise(F.substring_index(imported, ".", 1))
+    outside = F.lit(False)
+    for name, known in EXTERNAL.items():
+        outside = outside | ((language == name) & top.isin(known))
+    script = language.isin("typescript", "javascript")
+    relative = script & imported.startswith(".")
+    # A Java import of one segment is never taken for a library's.
+    outside = outside & ~relative & ~((language == "java") & ~imported.contains("."))
+    dotted = F.when(relative, F.btrim(F.translate(imported, "/", "."), F.lit("."))).when(language == "go", F.translate(imported, "/", ".")).otherwise(imported)
+    return F.when(~outside, dotted)
 
 
 def import_edges(modules: DataFrame, imports: DataFrame) -> DataFrame:
-    """(review_id, src, dst, kind), distinct: of modules(review_id, file_seq, module) and imports(review_id, file_seq, imported).
+    """(review_id, src, dst, kind), distinct: of modules(review_id, file_seq, module) and imports(review_id, file_seq, language, imported).
 
     An import goes to the module of its name, else to the first module whose last segment is the import's, else to a new external node.
     """
-    own = imports.where(~F.substring_index("imported", ".", 1).isin(STANDARD)).withColumn("simple", F.substring_index("imported", ".", -1))
+    own = imports.withColumn("imported", resolved(F.col("imported"), F.col("language"))).where("imported is not null").drop("language").withColumn("simple", F.substring_index("imported", ".", -1))
     src = modules.select("review_id", "file_seq", F.col("module").alias("src"))
     exact = modules.select("review_id", F.col("module").alias("imported")).distinct().withColumn("_m", F.col("imported"))
     first = modules.groupBy("review_id", F.substring_index("module", ".", -1).alias("simple")).agg(F.min_by("module", "file_seq").alias("_f"))

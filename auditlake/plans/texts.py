@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -57,8 +59,16 @@ def file_merge(spark, d):
     return have.withColumn("origin", F.lit("fetched")).unionByName(parse_failures(spark, d).withColumn("origin", F.lit("requested")))
 
 
-_RULES = "r(rule_id, rule_order, lang, category, severity, rx) AS (VALUES " + ", ".join(f"({q_(rid)}, {order}, {q_(lang)}, {q_(cat)}, {q_(sev)}, {q_(rx)})" for rid, order, langs, cat, sev, rx in X.RULES for lang in langs) + ")"
-_CODE = f"m AS (SELECT *, {LANG} AS lang FROM l), w AS (SELECT * FROM m WHERE NOT (CASE WHEN lang = 'python' THEN trim(line) LIKE '#%' ELSE trim(line) LIKE '//%' OR trim(line) LIKE '/*%' OR trim(line) LIKE '*%' END) AND NOT regexp_matches(line, {q_(X.ENV)}) AND NOT regexp_matches(line, {q_(X.TYPED)})), h AS (SELECT w.review_id, w.file_seq, w.line_no, r.rule_id, r.rule_order, r.category, r.severity FROM w JOIN r ON w.lang = r.lang AND regexp_matches(w.line, r.rx))"
+def _in_sql(rx: str) -> tuple[str, str]:
+    """An expression, and one that lines must not match, without the look-ahead that SQL lacks."""
+    ahead = re.search(r"(\w+\\\.\w+\\s\*\\\()\(\?!(.*?Loader)\)", rx)
+    return (rx.replace(f"(?!{ahead.group(2)})", ""), f"(?i){ahead.group(1)}{ahead.group(2)}") if ahead else (rx, "[^\\s\\S]")
+
+
+_RULES = "r(rule_id, rule_order, lang, category, severity, rx, no) AS (VALUES " + ", ".join(f"({q_(rid)}, {order}, {q_(lang)}, {q_(cat)}, {q_(sev)}, {q_(_in_sql(rx)[0])}, {q_(_in_sql(rx)[1])})" for rid, order, langs, cat, sev, rx in X.RULES for lang in langs) + ")"
+_NOTED = "CASE WHEN lang = 'python' THEN trim(line) LIKE '#%' ELSE trim(line) LIKE '//%' OR trim(line) LIKE '/*%' OR trim(line) LIKE '*%' END"
+_CODE = f"m AS (SELECT *, {LANG} AS lang FROM l), w AS (SELECT * FROM m WHERE NOT ({_NOTED}) AND NOT regexp_matches(line, {q_(X.ENV)}) AND NOT regexp_matches(line, {q_(X.TYPED)})), h AS (SELECT w.review_id, w.file_seq, w.line_no, r.rule_id, r.rule_order, r.category, r.severity FROM w JOIN r ON w.lang = r.lang AND regexp_matches(w.line, r.rx) AND NOT regexp_matches(w.line, r.no))"
+_SQL_RULES = "sr(lang, rule_order, rx, rule) AS (VALUES " + ", ".join(f"({q_(lang)}, {order}, {q_(rx)}, {q_(name)})" for lang, order, rx, name in X.SQL_RULES) + ")"
 
 
 @query("SELECT review_id, file_seq, line_no, rule_id, category, severity FROM h", C_, _LINES, _RULES, _CODE)
@@ -71,6 +81,11 @@ def first_rule_wins(spark, d):
     return X.first_hits(X.rule_hits(files(spark, d, "path", "content"), _KEY), _KEY).transform(long("line_no"))
 
 
+@query(f"SELECT review_id, file_seq, line_no, min_by(rule, rule_order) AS rule FROM (SELECT *, {LANG} AS lang FROM l) m JOIN sr USING (lang) WHERE NOT ({_NOTED}) AND regexp_matches(line, rx) GROUP BY 1, 2, 3", C_, _LINES, _SQL_RULES)
+def sql_skill(spark, d):
+    return X.sql_hits(files(spark, d, "path", "content"), _KEY).transform(long("line_no"))
+
+
 _STYLE = f"b AS (SELECT * FROM l WHERE trim(line, {_SP}) <> '')"
 
 
@@ -108,17 +123,41 @@ def path_to_module(spark, d):
     return _modules(spark, d)
 
 
-_PY = r"im AS (SELECT review_id, file_seq, unnest(list_concat(flatten(list_transform(regexp_extract_all(content, '(?m)^[ \t]*import[ \t]+([\w.]+(?:[ \t]*,[ \t]*[\w.]+)*)', 1), lambda x: string_split_regex(x, '[ \t]*,[ \t]*'))), regexp_extract_all(content, '(?m)^[ \t]*from[ \t]+([\w.]+)[ \t]+import', 1))) AS imported FROM md WHERE lang = 'python' AND content IS NOT NULL)"
+def _found(rx: str, text: str = "content") -> str:
+    return f"regexp_extract_all({text}, {q_(rx)}, 1)"
+
+
+_I = X.IMPORTS
+_PY = f"im AS (SELECT review_id, file_seq, unnest(list_concat(flatten(list_transform({_found(_I['python'][0])}, lambda x: string_split_regex(x, '\\s*,\\s*'))), {_found(_I['python'][1])})) AS imported FROM md WHERE lang = 'python' AND content IS NOT NULL)"
+_JS = f"ij AS (SELECT review_id, file_seq, lang, unnest(list_concat({_found(_I['script'][0])}, {_found(_I['script'][1])})) AS imported FROM md WHERE lang IN ('typescript', 'javascript') AND content IS NOT NULL)"
+_GO_BLOCK = f"regexp_extract(content, {q_(_I['go'][1])}, 1)"
+_GO = f"ig AS (SELECT review_id, file_seq, unnest(list_concat({_found(_I['go'][0])}, {_found(_I['go'][2], _GO_BLOCK)})) AS imported FROM md WHERE lang = 'go' AND content IS NOT NULL)"
+_JAVA = f"iv AS (SELECT review_id, file_seq, unnest({_found(_I['java'][0])}) AS imported FROM md WHERE lang = 'java' AND content IS NOT NULL)"
+_IMPORTS = f"{_JS}, {_GO}, {_JAVA}"
+
+
+def _sources(spark, d):
+    return files(spark, d, "path", "content").where("path is not null")
 
 
 @query("SELECT * FROM im", C_, _MODULES, _PY)
 def imports_extract(spark, d):
-    return X.python_imports(files(spark, d, "path", "content").where("path is not null"), _KEY)
+    return X.python_imports(_sources(spark, d), _KEY)
 
 
-@query(r"""SELECT review_id, file_seq, unnest(list_concat(regexp_extract_all(content, '(?m)^[ \t]*import[ \t]+(?:[^"'';\n]+[ \t]+from[ \t]+)?["'']([^"''\n]+)["'']', 1), regexp_extract_all(content, 'require\([ \t]*["'']([^"''\n]+)["''][ \t]*\)', 1))) AS imported FROM md WHERE lang IN ('typescript', 'javascript') AND content IS NOT NULL""", C_, _MODULES)
+@query("SELECT review_id, file_seq, imported FROM ij", C_, _MODULES, _JS)
 def script_imports_extract(spark, d):
-    return X.script_imports(files(spark, d, "path", "content").where("path is not null"), _KEY)
+    return X.script_imports(_sources(spark, d), _KEY)
+
+
+@query("SELECT * FROM ig", C_, _MODULES, _GO)
+def go_imports_extract(spark, d):
+    return X.go_imports(_sources(spark, d), _KEY)
+
+
+@query("SELECT * FROM iv", C_, _MODULES, _JAVA)
+def java_imports_extract(spark, d):
+    return X.java_imports(_sources(spark, d), _KEY)
 
 
 @query("SELECT review_id, file_seq, imported, n, occurrence FROM (SELECT review_id, file_seq, imported, count(*) OVER (PARTITION BY review_id, file_seq, lower(imported)) AS n, 2 AS occurrence FROM im) WHERE n > 1 GROUP BY ALL", C_, _MODULES, _PY)
@@ -128,12 +167,18 @@ def dup_dependency(spark, d):
     return n.select(*_KEY, F.explode("names").alias("imported"), "n", F.lit(2).alias("occurrence"))
 
 
-_STD = ", ".join(q_(x) for x in G.STANDARD)
-_EDGES = f"ed AS (SELECT DISTINCT i.review_id, s.module AS src, coalesce(x.module, y.module, i.imported) AS dst, CASE WHEN x.module IS NOT NULL THEN 'exact' WHEN y.module IS NOT NULL THEN 'simple' ELSE 'external' END AS kind FROM im i JOIN md s ON s.review_id = i.review_id AND s.file_seq = i.file_seq LEFT JOIN (SELECT DISTINCT review_id, module FROM md) x ON x.review_id = i.review_id AND x.module = i.imported LEFT JOIN (SELECT review_id, string_split(module, '.')[-1] AS simple, min_by(module, file_seq) AS module FROM md GROUP BY 1, 2) y ON y.review_id = i.review_id AND y.simple = string_split(i.imported, '.')[-1] WHERE string_split(i.imported, '.')[1] NOT IN ({_STD}) AND i.imported <> s.module)"
+_EXTERNAL = "ex(lang, top) AS (VALUES " + ", ".join(f"({q_(lang)}, {q_(x)})" for lang, names in G.EXTERNAL.items() for x in names) + ")"
+_RESOLVED = f"ia AS (SELECT *, 'python' AS lang FROM im UNION ALL SELECT review_id, file_seq, imported, lang FROM ij UNION ALL SELECT *, 'go' FROM ig UNION ALL SELECT *, 'java' FROM iv), ir AS (SELECT review_id, file_seq, CASE WHEN rel THEN trim(translate(imported, '/', '.'), '.') WHEN lang = 'go' THEN translate(imported, '/', '.') ELSE imported END AS imported FROM (SELECT *, lang IN ('typescript', 'javascript') AND imported LIKE '.%' AS rel, CASE WHEN lang IN ('go', 'typescript', 'javascript') THEN string_split(imported, '/')[1] ELSE string_split(imported, '.')[1] END AS top FROM ia) a WHERE rel OR lang = 'java' AND NOT contains(imported, '.') OR NOT EXISTS (SELECT 1 FROM ex WHERE ex.lang = a.lang AND ex.top = a.top))"
+_EDGES = f"{_IMPORTS}, {_EXTERNAL}, {_RESOLVED}, ed AS (SELECT DISTINCT i.review_id, s.module AS src, coalesce(x.module, y.module, i.imported) AS dst, CASE WHEN x.module IS NOT NULL THEN 'exact' WHEN y.module IS NOT NULL THEN 'simple' ELSE 'external' END AS kind FROM ir i JOIN md s ON s.review_id = i.review_id AND s.file_seq = i.file_seq LEFT JOIN (SELECT DISTINCT review_id, module FROM md) x ON x.review_id = i.review_id AND x.module = i.imported LEFT JOIN (SELECT review_id, string_split(module, '.')[-1] AS simple, min_by(module, file_seq) AS module FROM md GROUP BY 1, 2) y ON y.review_id = i.review_id AND y.simple = string_split(i.imported, '.')[-1] WHERE i.imported <> s.module)"
 
 
 def _edges(spark, d):
-    return G.import_edges(_modules(spark, d), imports_extract(spark, d))
+    c = _sources(spark, d).withColumn("language", S.language_of(F.col("path")))
+    keep = [*_KEY, "language"]
+    found = X.python_imports(c, keep)
+    for f in (X.script_imports, X.go_imports, X.java_imports):
+        found = found.unionByName(f(c, keep))
+    return G.import_edges(_modules(spark, d), found)
 
 
 @query("SELECT * FROM ed", C_, _MODULES, _PY, _EDGES)
@@ -141,9 +186,9 @@ def import_edges(spark, d):
     return _edges(spark, d)
 
 
-@query("SELECT review_id, module, in_degree, CASE WHEN in_degree > 10 THEN 'critical' WHEN in_degree > 8 THEN 'high' ELSE 'medium' END AS severity FROM (SELECT review_id, dst AS module, count(DISTINCT src) AS in_degree FROM ed GROUP BY 1, 2) WHERE in_degree > 2", C_, _MODULES, _PY, _EDGES)
+@query("SELECT review_id, module, in_degree, CASE WHEN in_degree > 10 THEN 'critical' WHEN in_degree > 8 THEN 'high' ELSE 'medium' END AS severity FROM (SELECT review_id, dst AS module, count(DISTINCT src) AS in_degree FROM ed GROUP BY 1, 2) WHERE in_degree > 5", C_, _MODULES, _PY, _EDGES)
 def coupling_degree(spark, d):
-    return G.coupled(_edges(spark, d), most=2)
+    return G.coupled(_edges(spark, d))
 
 
 @query("SELECT a.review_id, a.module FROM (SELECT DISTINCT review_id, module FROM md WHERE NOT EXISTS (SELECT 1 FROM ed WHERE ed.review_id = md.review_id AND (ed.src = md.module OR ed.dst = md.module))) a JOIN (SELECT review_id FROM md GROUP BY 1 HAVING count(*) >= 2) s ON s.review_id = a.review_id QUALIFY count(*) OVER (PARTITION BY a.review_id) <= 10", C_, _MODULES, _PY, _EDGES)

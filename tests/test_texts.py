@@ -19,6 +19,50 @@ def test_rules_on_samples(spark):
     assert got == {(1, 2, "hardcoded_secret"), (1, 4, "sql_injection"), (1, 6, "command_injection"), (2, 1, "sql_injection")}
 
 
+HITS = {
+    "py-secret": ("a.py", 'api_key = "abcdef123456"', 'myapi_key = "abcdef123456"'),
+    "py-command": ("a.py", "subprocess.run(cmd, shell=True)", "subprocess.run(cmd, shell=False)"),
+    "py-deserialize": ("a.py", "yaml.load(f)", "yaml.load(f, Loader=yaml.SafeLoader)"),
+    "py-sql": ("a.py", 'q = f"DROP TABLE {t}"', 'q = "SELECT 1"'),
+    "go-secret": ("a.go", "password = `any thing goes`", "password = `short`"),
+    "go-command": ("a.go", "exec.Command(fmt.Sprintf(x))", 'exec.Command("ls")'),
+    "go-sql": ("a.go", 'fmt.Sprintf("DROP TABLE %s", t)', 'fmt.Sprintf("SELECT 1")'),
+    "go-path": ("a.go", "os.OpenFile(req.Path)", "os.OpenFile(path)"),
+    "js-secret": ("a.ts", "secretKey: 'abcdef123456'", "secretKey: 'abc'"),
+    "js-command": ("a.js", "child_process.exec(`ls ${x}`)", "exec(a + b)"),
+    "js-xss": ("a.tsx", "el.innerHTML = `<b>${x}`", "el.innerHTML = ''"),
+    "js-sql": ("a.js", "db.query(`DELETE FROM t WHERE id=${x}`)", "db.query(`SELECT 1`)"),
+    "java-secret": ("A.java", 'String password = "abcdef123456";', "String password = 'abcdef123456';"),
+    "java-command": ("A.java", 'Runtime.getRuntime().exec("ls " + x)', 'Runtime.getRuntime().exec("ls")'),
+    "java-sql": ("A.java", '"DROP TABLE " + name', '"DROP TABLE t"'),
+    "java-deserialize": ("A.java", "new ObjectInputStream(in)", "new InputStream(in)"),
+}
+
+
+def test_every_rule_hits_and_misses(spark):
+    rows = [(i, path, text) for i, (path, yes, no) in enumerate(HITS.values()) for text in (yes, no)]
+    df = spark.createDataFrame([(2 * i + (text == list(HITS.values())[i][2]), path, text) for i, path, text in rows], FILE)
+    assert {(r.id, r.rule_id) for r in X.rule_hits(df, ["id"]).collect()} == {(2 * i, rule) for i, rule in enumerate(HITS)}
+    assert set(HITS) == {r[0] for r in X.RULES}
+
+
+def test_the_first_sql_rule_counts(spark):
+    df = spark.createDataFrame([(1, "a.py", 'c.execute(f"SELECT {x}")\nc.execute(f"{x}")\n# c.execute(f"{x}")\nq = "DELETE FROM t " + x'), (2, "a.go", "db.Query(fmt.Sprintf(x))"), (3, "A.java", 's.execute("x" + y)'), (4, "a.jsx", 'q = "UPDATE t" + x')], FILE)
+    assert {(r.id, r.line_no, r.rule) for r in X.sql_hits(df, ["id"]).collect()} == {(1, 1, "f-string"), (1, 2, "execute"), (1, 4, "concatenation"), (2, 1, "Query of Sprintf"), (3, 1, "execute"), (4, 1, "concatenation")}
+
+
+def test_imports_of_all_languages(spark):
+    go = 'import "fmt"\nimport x "own/pkg"\nimport (\n\t"net/http"\n\ty "own/other"\n)\n'
+    java = "import java.util.List;\n  import static own.Tool.go;\nimport own.pkg.*;\n"
+    script = "import {\n a } from './lib/a'\nconst b = require( \"lodash\" )\n"
+    df = spark.createDataFrame([(1, "a.go", go), (2, "A.java", java), (3, "a.ts", script)], FILE)
+    assert [r.imported for r in X.go_imports(df, ["id"]).collect()] == ["fmt", "own/pkg", "net/http", "own/other"]
+    assert [r.imported for r in X.java_imports(df, ["id"]).collect()] == ["java.util.List", "own.Tool.go"]
+    assert [r.imported for r in X.script_imports(df, ["id"]).collect()] == ["./lib/a", "lodash"]
+    x = spark.createDataFrame([("go", "own/pkg"), ("go", "net/http"), ("java", "java.util.List"), ("java", "own.Tool"), ("java", "org"), ("typescript", "./lib/a"), ("typescript", "../b"), ("javascript", "lodash/fp"), ("python", "numpy.linalg"), ("python", "own.x")], "l string, i string")
+    assert [r[0] for r in x.select(G.resolved(F.col("i"), F.col("l"))).collect()] == ["own.pkg", None, None, "own.Tool", "org", "lib.a", "b", None, None, "own.x"]
+
+
 def test_style(spark):
     df = spark.createDataFrame([(1, "a.py", "x" * 121 + "\ny = 1  \n\t a\n b\n\n   \n"), (2, "b.py", "\ta\n")], FILE)
     assert {(r.id, r.line_no, r.category) for r in X.style_hits(df, ["id"]).collect()} == {(1, 1, "line_too_long"), (1, 2, "trailing_whitespace"), (1, 0, "mixed_indent")}
@@ -77,9 +121,9 @@ def test_graph(spark):
     e = spark.createDataFrame([(1, 2), (2, 1), (2, 3), (3, 1), (1, 1), (4, 1), (1, 2)], "src int, dst int")
     assert {tuple(r.cycle) for r in G.cycles(e, 4).collect()} == {(1, 2), (1, 2, 3)}
     m = spark.createDataFrame([("r", 1, "app.a"), ("r", 2, "app.b"), ("r", 3, "lib.b"), ("r", 4, "solo")], "review_id string, file_seq int, module string")
-    i = spark.createDataFrame([("r", 1, "app.b"), ("r", 1, "b"), ("r", 1, "os.path"), ("r", 2, "requests"), ("r", 2, "app.b")], "review_id string, file_seq int, imported string")
+    i = spark.createDataFrame([("r", 1, "app.b"), ("r", 1, "b"), ("r", 1, "os.path"), ("r", 2, "remote"), ("r", 2, "app.b")], "review_id string, file_seq int, imported string").withColumn("language", F.lit("python"))
     got = {(r.src, r.dst, r.kind) for r in G.import_edges(m, i).collect()}
-    assert got == {("app.a", "app.b", "exact"), ("app.a", "app.b", "simple"), ("app.b", "requests", "external")}
+    assert got == {("app.a", "app.b", "exact"), ("app.a", "app.b", "simple"), ("app.b", "remote", "external")}
     assert {r.module for r in G.isolated(m, G.import_edges(m, i)).collect()} == {"lib.b", "solo"}
 
 
