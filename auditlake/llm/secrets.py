@@ -7,8 +7,11 @@ secret, and comments that tell one. A match is validated: issuer checks on struc
 algorithm, Basic data must decode to user:password, a key block must have a body), and values that are empty, placeholders, masked,
 references to the environment or a store, names, paths or hint texts are no credentials.
 
-Masking replaces letters by x or X and digits by 0, one by one, and leaves all other characters, so lengths, quotes, line ends and
-alphabets stay and the code around is untouched.
+Tokens of issuers that add a CRC32 (in base 62) are certain if it fits; one that doesn't fit is judged like the others, since code also
+holds tokens whose checksum nobody computed.
+
+Masking keeps lengths, quotes, line ends and alphabets: an issuer's prefix stays and its body becomes x (X in capitals-only tokens), a
+hexadecimal value becomes zeros, in others small letters become x, capitals X and digits 0; other characters stay.
 
 Defined results: null and empty texts have no credential; a line ends at LF or CRLF; lines count from 1; several on a line are one row;
 redelivered rows are one record. Only the named columns are read.
@@ -20,6 +23,7 @@ import base64
 import binascii
 import json
 import re
+import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -31,7 +35,7 @@ from pyspark.sql import functions as F
 from auditlake.session import spread
 
 # Keywords of the prefilter in any case, and as they are; issuer prefixes, and words of names.
-KEYWORDS = ["pass", "pwd", "secret", "token", "_key", "-key", ".key", "apikey", " key", "accesskey", "privatekey", "auth", "cred", "login", "bearer", "basic ", "_pw", "-pw", "dsn", "?key=", "&key=", "sig=", "signature=", "пароль"]
+KEYWORDS = ["pass", "pwd", "secret", "token", "_key", "-key", ".key", "apikey", " key", "accesskey", "privatekey", "auth", "cred", "login", "bearer", "basic ", "_pw", "-pw", "dsn", "?key=", "&key=", "sig=", "signature=", "curl ", "пароль"]
 EXACT = ["://", "Basic", "Digest", "-----BEGIN", "AKIA", "ASIA", "ghp_", "gho_", "ghs_", "ghu_", "ghr_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "xoxa-", "xoxs-", "xoxr-", "_live_", "_test_", "eyJ", "AIza", "npm_", "pypi-", "hf_", "SG.", "dop_v1_", "密码", "密钥", "口令", "令牌", "パスワード"]
 
 ISSUER = re.compile(
@@ -70,12 +74,15 @@ ASSIGNED = re.compile(
 )
 STRING_RE = re.compile(STRING)
 #: "password=" + "value".
-DSN_SPLIT = re.compile(r"([A-Za-z_]+)=[\"'`]\s*\+\s*[\"'`]([^\"'`\s;&]+)[\"'`;&]")
+DSN_SPLIT = re.compile(r"([A-Za-z_]+)=[\"'`]\s*\+\s*[\"'`]((?:[^\"'`\s;&]|&(?![\w.\-]+=))+)[\"'`;&]")
 #: name=value without quotes, in a comment, a connection string or a configuration file.
-BARE = re.compile(rf"(?<![\w$.\-])(?P<name>{NAME})\s?(?:=|:)\s?(?P<value>[^\s\"'`;,&<>(){{}}\[\]]+)")
+BARE = re.compile(rf"(?<![\w$.\-])(?P<name>{NAME})\s?(?:=|:)\s?(?P<value>(?:[^\s\"'`;,&<>(){{}}\[\]]|&(?![\w.\-]+=))+)")
 BARE_LINE = re.compile(rf"^\s*(?:\d+ \| *)?(?:export\s+|ENV\s+|ARG\s+|set\s+|-\s+)?(?P<name>{NAME})\s*[=: ]\s*(?P<value>\S.*?)\s*$")
 COMMENT = re.compile(r"^\s*(?:\d+ \| ?\s*)?(?:#|//|/?\*+|--|;|<!--)")
 TOLD = re.compile(r"(?i)\b(?:password|passwd|pwd|passphrase|secret|token|api.?key|credentials?|login|access.?key|private.?key)\b|密码|密钥|口令|令牌|パスワード|пароль")
+#: The user and password of a command line, and a password that follows its word without blanks between the words of the language.
+USER = re.compile(r"\bcurl\b.*?\s(?:-u|--user)[ =]?[\"']?([^\s:\"'`$]+):([^\s\"'`]+)")
+TOLD_HAN = re.compile(r"(?:密码|密钥|口令|令牌|パスワード|пароль)\s*(?:是|为|は)?\s*[:：=]?\s*([!-~]{6,})", re.I)
 TOLD_VALUE = re.compile(r"[^\s\"'`,;()<>:]{8,}")
 CONFIG = re.compile(r"(?i)\.(?:env|ini|properties|ya?ml|toml|cfg|conf|cnf|tf|tfvars|staging|production|local|dev|prod|txt|sh|bash)$|(?:^|[/\\])(?:dockerfile|\.env)[^/\\]*$|(?:^|[/\\])\.(?:env|npmrc|netrc|pgpass)[^/\\]*$")
 
@@ -84,6 +91,14 @@ BLANK = re.compile(r"(?m)^\s*$")
 WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 LAST = {"password", "passwd", "pwd", "pass", "passphrase", "passcode", "secret", "token", "pw", "apikey", "secretkey", "accesskey", "privatekey", "credential", "credentials", "auth", "psk", "pin", "jwt", "bearer", "userpass", "dbpass", "authtoken", "secrets"}
 KEY_OF = {"api", "secret", "private", "access", "encryption", "signing", "deploy", "service", "hmac", "account", "auth", "master", "storage", "ssh", "session", "webhook", "client", "shared", "license", "crypt", "crypto", "encrypt", "decrypt", "cipher", "aes", "rsa", "jwt", "admin", "root", "publishable", "subscription", "app", "application", "consumer", "security", "wallet", "signature", "sign", "integration", "write", "server"}
+PASSWORDS = {"password", "passwd", "pwd", "pass", "passphrase", "passcode", "pw", "userpass", "dbpass"}
+#: Widely known weak passwords.
+WEAK = {"letmein", "admin", "qwerty", "welcome", "iloveyou", "monkey", "dragon", "sunshine", "princess", "football", "baseball", "master", "shadow", "superman", "trustno"}
+BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+CHECKED = re.compile(r"(?:gh[pousr]_|npm_)([A-Za-z0-9]{30})([A-Za-z0-9]{6})")
+#: Prefixes that a mask keeps, and the rest of their tokens.
+PREFIXED = re.compile(r"(A(?:KIA|SIA)|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|[a-z]{2}_(?:live|test)_|AIza|npm_|pypi-|hf_|SG\.|dop_v1_)([A-Za-z0-9_.\-]+)")
+HEX = re.compile(r"(?<![A-Za-z0-9])(?:0x)?(?=[0-9a-fA-F]*[0-9])([0-9a-fA-F]{8,})(?![A-Za-z0-9])")
 CALLS = re.compile(r"(?i)getenv|environ|process\.env|vault|secretmanager|keyring|keychain|os\.get|config\.|settings\.|getProperty|ssm|kms")
 PLACEHOLDER = re.compile(
     r"(?i)^(?:$|<.*|.*>$|\{\{.*|\$\{?[A-Za-z_(].*|%\w+%?$|%\(.*|@\w+@$|#\{.*|\[.*\]$|(.)\1*$|\*+.*|.*\*{4,}.*|x{3,}.*|.*x{6,}.*|\.{3,}|.*\.\.\.$|…+"
@@ -166,6 +181,27 @@ def placeholder(value: str) -> bool:
     return bool(re.fullmatch(r"[\d.,:\-/ ]+", v)) and len(v) < 6 or set(v) <= set("0-") or bool(re.fullmatch(r"\d{1,5}(?:ms|s|m|h|d)?", v))
 
 
+def weak_password(name: str, value: str) -> bool:
+    """A word that is a known weak password, or several words with a digit and a mark, as the value of a name for a password."""
+    words = [w.lower() for w in WORD.findall(name) if not w.isdigit()]
+    if not words or words[-1] not in PASSWORDS:
+        return False
+    v = value.strip().lower()
+    return v in WEAK or " " in v and len(v) <= 40 and bool(re.search(r"\d", v)) and bool(re.search(r"[!@#$%^&*]", v)) and not PLACEHOLDER.match(v.replace(" ", ""))
+
+
+def checksum_fits(token: str) -> bool:
+    """The last six characters are the CRC32 of the body before, in base 62, as some issuers write it."""
+    m = CHECKED.fullmatch(token)
+    if not m:
+        return False
+    n, out = zlib.crc32(m.group(1).encode()), ""
+    while n:
+        n, r = divmod(n, 62)
+        out = BASE62[r] + out
+    return out.rjust(6, "0") == m.group(2)
+
+
 def _jwt(token: str) -> bool:
     head = token.split(".")[0].rstrip("=")
     try:
@@ -227,12 +263,15 @@ def _line(text: str, a: int, e: int, config: bool) -> list[tuple[int, int]]:
             out[-1:] = [(a + m.start(), a + m.end() + len(body))]
     for m in ISSUER.finditer(line):
         v = m.group()
-        if v.startswith("eyJ") and not _jwt(v) or re.search(r"(?i)example|x{6,}|(.)\1{9,}", v):
+        if not checksum_fits(v) and (v.startswith("eyJ") and not _jwt(v) or re.search(r"(?i)example|x{6,}|(.)\1{9,}", v)):
             continue
         add(a + m.start(), a + m.end())
     for m in URL.finditer(line):
         if not placeholder(m.group(2)) or re.fullmatch(r"[a-z]{6,}", m.group(2)) and m.group(2) not in VOCABULARY:
             add(a + m.start(2), a + m.end(2))
+    for m in USER.finditer(line):
+        if not placeholder(m.group(2)):
+            add(a + m.start(2), a + m.end(2))
     for m in PARAMETER.finditer(line):
         if not placeholder(m.group(1)) and not m.group(1).startswith("{"):
             add(a + m.start(1), a + m.end(1))
@@ -252,7 +291,7 @@ def _line(text: str, a: int, e: int, config: bool) -> list[tuple[int, int]]:
             continue
         parts = [(x.start() + 1, x.end() - 1) for x in STRING_RE.finditer(both, m.start("value"), m.end("value"))]
         value = "".join(both[x:y] for x, y in parts)
-        if not placeholder(value) and not URL.search(value) and not value.startswith("-----") and not HEADER.match(value):
+        if (not placeholder(value) or weak_password(m.group("name"), value)) and not URL.search(value) and not value.startswith("-----") and not HEADER.match(value):
             for x, y in parts:
                 add(a + x, a + y)
     for m in DSN_SPLIT.finditer(both):
@@ -273,6 +312,11 @@ def _line(text: str, a: int, e: int, config: bool) -> list[tuple[int, int]]:
         v = m.group("value")
         if v[0] not in "\"'`{[(|>" and not placeholder(v) and not CALLS.search(v) and not URL.search(v) and not HEADER.match(v):
             add(a + m.start("value"), a + m.end("value"))
+    if comment and not out:
+        for m in TOLD_HAN.finditer(line, comment.end()):
+            v = m.group(1).rstrip(".,;")
+            if re.search(r"\d", v) and re.search("[A-Za-z]", v) and not placeholder(v) and "://" not in v:
+                add(a + m.start(1), a + m.start(1) + len(v))
     if comment and TOLD.search(line) and not out:
         for m in TOLD_VALUE.finditer(line, comment.end()):
             v = m.group().rstrip(".")
@@ -313,7 +357,10 @@ def find_spans(text: str | None, path: str | None = None) -> list[tuple[int, int
 
 def credential_lines(text: str | None, path: str | None = None) -> list[int]:
     """The lines on which at least one credential begins."""
-    spans = find_spans(text, path)
+    return lines_of_spans(text, find_spans(text, path))
+
+
+def lines_of_spans(text: str | None, spans: list[tuple[int, int]]) -> list[int]:
     if not spans:
         return []
     ends = [m.start() for m in re.finditer("\n", text)]
@@ -324,18 +371,33 @@ _MASK = {**{ord(c): "x" for c in "abcdefghijklmnopqrstuvwxyz"}, **{ord(c): "X" f
 _FRAME = re.compile(r"-----(?:BEGIN|END) [A-Z0-9 ]+-----|\\[nrt]")
 
 
+def _masked_part(value: str) -> str:
+    m = PREFIXED.fullmatch(value)
+    if m:
+        fill = "0" if m.group(1) == "dop_v1_" else "X" if m.group(1)[:2] in ("AK", "AS") else "x"
+        return m.group(1) + re.sub("[A-Za-z0-9]", fill, m.group(2))
+    out, at = [], 0
+    for m in HEX.finditer(value):
+        out += [value[at : m.start(1)].translate(_MASK), "0" * len(m.group(1))]
+        at = m.end(1)
+    return "".join(out) + value[at:].translate(_MASK)
+
+
 def masked(value: str) -> str:
     """A placeholder of the same length and alphabet; key block frames and escapes stay."""
     out, at = [], 0
     for m in _FRAME.finditer(value):
-        out += [value[at : m.start()].translate(_MASK), m.group()]
+        out += [_masked_part(value[at : m.start()]), m.group()]
         at = m.end()
-    return "".join(out) + value[at:].translate(_MASK)
+    return "".join(out) + _masked_part(value[at:])
 
 
 def redact(text: str | None, path: str | None = None) -> str | None:
     """The text with its credentials masked."""
-    spans = find_spans(text, path)
+    return with_masks(text, find_spans(text, path))
+
+
+def with_masks(text: str | None, spans: list[tuple[int, int]]) -> str | None:
     if not spans:
         return text
     out, at = [], 0
@@ -356,9 +418,9 @@ def find_credentials(df: DataFrame, keys: list[str], text_col: str, path_col: st
         for b in batches:
             rows, lines, texts = [], [], []
             for r, (text, path) in enumerate(zip(b.column(n).to_pylist(), b.column(n + 1).to_pylist())):
-                found = credential_lines(text, path)
-                if found:
-                    fixed = redact(text, path)
+                spans = find_spans(text, path)
+                if spans:
+                    found, fixed = lines_of_spans(text, spans), with_masks(text, spans)
                     rows += [r] * len(found)
                     lines += found
                     texts += [fixed] * len(found)
