@@ -4,7 +4,7 @@ Each language has a packrat parsing-expression grammar over its tokens; a file i
 keyed by content: a block, a logical line or a top-level item is parsed once, wherever it recurs, in this file or the next (``syntax``).
 A file that fails is read again with offsets, for the line of the furthest failure and its cause: ``conflict`` (merge markers),
 ``patch`` (a diff), ``response`` (an error page instead of the file), ``truncated`` (the input ended too early), ``language`` (it is
-valid in another of the languages), else ``syntax``. Nesting too deep for the parser counts as invalid, with the cause ``depth``.
+valid in another of the languages), else ``syntax``. Nesting is followed however deep.
 
 Defined results: null and empty contents, null paths and other extensions are no cases; the extension counts in any case; redelivered
 rows are one record. Files of a null or unknown repository are reported under a null one.
@@ -24,7 +24,9 @@ from auditlake.llm.syntax import golang, java, javascript, python
 from auditlake.llm.syntax.lex import BAD, Braced, furthest, merged, replaced
 from auditlake.session import spread
 
-DEPTH = 20_000
+#: Calls of Python functions nest on the heap, so the depth is bounded by memory alone.
+DEPTH = 1 << 30
+STRUCTURE_END = re.compile("<+$")
 LANGUAGES: dict[str, tuple[str, Callable[[str], bool]]] = {
     "py": ("python", python.valid),
     "go": ("go", golang.valid),
@@ -125,12 +127,10 @@ def _python_failure(text: str) -> int:
         return len(source)
     kinds, bad = python.structure(lines)
     if bad < 0:
-        bad = len(lines) - 1
-        for n in range(1, len(lines) + 1):
-            k, _ = python.structure(lines[:n])
-            if python.STRUCTURE.trace("file", k) < len(k.rstrip("<")) - 1:
-                bad = n - 1
-                break
+        # The characters of lines, up to the furthest failure; indents, dedents and bodies on the line are none.
+        upto = STRUCTURE_END.sub("", kinds)
+        at = min(python.STRUCTURE.trace("file", kinds), len(upto) - 1)
+        bad = max(0, sum(c not in "<>b" for c in kinds[: at + 1]) - 1)
     seen = -1
     depth = 0
     for n, line in enumerate(flat.split("\n"), 1):

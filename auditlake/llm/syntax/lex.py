@@ -84,18 +84,29 @@ def furthest(lang: Braced, text: str, at: list[int], top: str) -> int:
     Innermost braces that fit no kind come first in the order of their end; otherwise the top level fails.
     """
     at = [*at, at[-1] + 1 if at else 0]
-    while True:
-        m = Braced.INNER.search(text)
-        if not m:
-            break
-        a, b = m.span()
-        c = lang.brace(m.group(1))
-        if c == chr(BRACES):
-            best = max(lang.grammar.trace(rule, m.group(1)) for rule in lang.kinds.values())
-            return at[min(a + 1 + best, len(at) - 1)]
-        text = text[:a] + c + text[b:]
-        at = at[: a + 1] + at[b:]
-    return at[min(lang.grammar.trace(top, text), len(at) - 1)]
+    # What is open, outermost first: its characters, and where each comes from. Every character is moved once.
+    open_: list[tuple[list[str], list[int]]] = [([], [])]
+    for i, c in enumerate(text):
+        if c == "{":
+            open_.append(([], []))
+        elif c == "}" and len(open_) > 1:
+            chars, where = open_.pop()
+            content = "".join(chars)
+            c = lang.brace(content)
+            if c == chr(BRACES):
+                best = max(lang.grammar.trace(rule, content) for rule in lang.kinds.values())
+                return at[[*where, i][min(best, len(where))]]
+            first = where[0] - 1 if where else i - 1
+            open_[-1][0].append(c)
+            open_[-1][1].append(first)
+        else:
+            open_[-1][0].append(c)
+            open_[-1][1].append(i)
+    chars, where = open_[0]
+    for more, from_ in open_[1:]:
+        where = [*where, from_[0] - 1 if from_ else len(text) - 1, *from_]
+        chars = [*chars, "{", *more]
+    return at[[*where, len(text)][min(lang.grammar.trace(top, "".join(chars)), len(where))]]
 
 
 def merged(table: Table, chars: list[str], at: list[int]) -> tuple[str, list[int]]:

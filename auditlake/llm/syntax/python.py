@@ -33,31 +33,33 @@ single <- tprim / id / '(' single ')'
 tprim <- atom (trailer &trailer)* ('.' id / '[' slices ']') !trailer
 yield <- 'yield' ('from' expr / stars?)
 stars <- star (',' star)* ','?
-star <- '*' bitor / named
+star <- '*' bitor / expr !':='
+nstars <- nstar (',' nstar)* ','?
+nstar <- '*' bitor / named
 named <- id ':=' expr / expr !':='
 expr <- lambda / disj ('if' disj 'else' expr)?
 lambda <- 'lambda' lparams? ':' expr
 lparams <- lparam (',' lparam)* ','?
-lparam <- '*' id? / '**' id / '/' / id ('=' expr)?
+lparam <- '*' id / '*' &(',' id) / '**' id / '/' / id ('=' expr)?
 disj <- inv (('and' / 'or') inv)*
 inv <- 'not' inv / bitor (compop bitor)*
 compop <- COMPARE / 'not' 'in' / 'is' 'not' / 'is' / 'in'
 bitor <- unary (ARITHMETIC unary)*
 unary <- ('-' / '+' / '~') unary / 'await'? atom trailer* ('**' unary)?
-trailer <- '.' id / '(' args? ')' / '[' slices ']'
+trailer <- '.' id / '(' (args &')' / named compfor)? ')' / '[' slices ']'
 args <- posargs (',' kwargs)? ','? / kwargs ','?
 posargs <- posarg (',' posarg)*
-posarg <- '*' expr / named compfor? !'='
+posarg <- '*' expr / named !'='
 kwargs <- kwarg (',' kwarg)*
 kwarg <- id '=' expr / '**' expr / '*' expr
 slices <- slice (',' slice)* ','?
 slice <- expr? ':' expr? (':' expr?)? / '*' bitor / named
 compfor <- ('async'? 'for' targets 'in' disj ('if' compif)*)+
 compif <- lambda / disj
-atom <- id / 'n' / strings / 'None' / 'True' / 'False' / '...' / '(' (yield / named compfor / stars)? ')' / '[' (named compfor / stars)? ']' / '{' (dict / star (compfor / (',' star)* ','?))? '}'
-strings <- ('S' / fstring)+
+atom <- id / 'n' / strings / 'None' / 'True' / 'False' / '...' / '(' (yield / named compfor / nstars)? ')' / '[' (named compfor / nstars)? ']' / '{' (dict / nstar (compfor / (',' nstar)* ','?))? '}'
+strings <- ('S' / fstring)+ / 'B'+
 fstring <- FS field* FE
-field <- '{' (yield / stars) '='? ('!' id)? (':' field*)? '}'
+field <- '{' (yield / nstars) '='? ('!' id)? (':' field*)? '}'
 dict <- '**' bitor dictrest / expr ':' expr (compfor / dictrest)
 dictrest <- (',' dictitem)* ','?
 dictitem <- '**' bitor / expr ':' expr
@@ -79,9 +81,9 @@ tparam <- ('*' / '**')? id (':' expr)? ('=' expr)?
 params <- (plain (',' plain)* (',' defaulted)* / defaulted (',' defaulted)*) (',' starred)? ','? / starred ','?
 plain <- '/' / id (':' expr)? !'='
 defaulted <- '/' / id (':' expr)? '=' expr
-starred <- '*' (id (':' '*'? expr)?)? (',' id (':' expr)? ('=' expr)?)* (',' '**' id (':' expr)?)? / '**' id (':' expr)?
+starred <- '*' (id (':' '*'? expr)? / &(',' id)) (',' id (':' expr)? ('=' expr)?)* (',' '**' id (':' expr)?)? / '**' id (':' expr)?
 class <- 'class' id tparams? ('(' args? ')')? ':' body
-match <- 'match' stars ':' EOF
+match <- 'match' nstars ':' EOF
 case <- 'case' patterns ('if' named)? ':' body
 patterns <- pattern (',' pattern)* ','?
 pattern <- '*' id / orpat ('as' id)?
@@ -126,7 +128,7 @@ LEX = re.compile(
     r"(#[^\n]*|\\\r?\n)"
     rf"|({_STRING})"
     r"|([^\W\d]\w*)(?![\"'])"
-    r"|((?:0[xX](?:_?[0-9a-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:\d(?:_?\d)*)?\.?\d(?:_?\d)*\.?(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?)(?!\w))"
+    r"|((?:0[xX](?:_?[0-9a-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?!0[\d_]*[1-9][\d_]*(?![\d_.eEjJ]))(?:\d(?:_?\d)*)?\.?\d(?:_?\d)*\.?(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?)(?!\w))"
     r"|(\d\w*)"
     r"|([^\W\d]\w*)",
     re.S,
@@ -246,7 +248,7 @@ def _one(m: re.Match) -> str:
     if k == 3 or k == 6:
         return TABLE.words.get(m.group(), "i")
     if k == 2:
-        return "S"
+        return "B" if "b" in m.group()[:2].lower().partition('"')[0].partition("'")[0] else "S"
     if k == 4:
         return "n"
     if k == 1:
