@@ -3,10 +3,12 @@
 For every pair (right encoding, wrong encoding) the garbled form of each character of the pair's alphabet is made by rule: the
 character's bytes under the right encoding, decoded by the wrong one. One automaton holds all of these sequences. A text is scanned
 once; adjacent matches of one pair form a span, and only accepted spans are replaced, so correct text beside them stays as it is. A
-text garbled twice is scanned again, up to ``ROUNDS`` times.
+text garbled several times is scanned again until nothing changes.
 
-Two-byte wrong encodings (GBK, Shift-JIS, Big5, EUC-KR read over UTF-8) don't keep character limits; there the automaton holds
-the two-character beginnings, and the span is the longest run that decodes. A span is accepted by its evidence: one sequence that
+Two-byte wrong encodings (GBK, Shift-JIS, Big5, EUC-KR read over UTF-8) don't keep character limits, so no list of sequences can hold
+them all; there a set has the characters that a garbled character can begin with, and a run with enough of them is a span if it decodes.
+Legacy bytes read by another legacy encoding, and Western ones, have sequences of one character, which prove nothing alone; they are
+judged by run and line. A span is accepted by its evidence: one sequence that
 contains no letter pair of correct text is enough, a sequence that correct text may hold (a capital before a quote mark, say) needs a
 neighbour. A span that stands alone within quote marks, is quoted on purpose and no case. A replacement sign within a word is a
 finding whose text can't be recovered; one that stands alone is not.
@@ -24,8 +26,6 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-ROUNDS = 3
-
 # Names of encodings.
 SINGLE = [["cp1252", "latin-1", "iso8859-15", "cp1254"], ["mac_roman"], ["cp437", "cp850"], ["cp1251"], ["cp866"], ["koi8-r"], ["cp1250"], ["cp1253"]]
 DOUBLE = ["gb18030", "cp932", "big5", "euc_kr"]
@@ -59,11 +59,11 @@ def _encode_1(text: str, wrong: str) -> bytes | None:
 
 def _alphabet() -> list[str]:
     """Characters that texts hold, by block; the garbled sequences are made for all of them."""
-    blocks = [(0x80, 0x250), (0x2B0, 0x2DD), (0x300, 0x370), (0x370, 0x400), (0x400, 0x460), (0x490, 0x492), (0x5D0, 0x5EB), (0x621, 0x64B), (0xE01, 0xE5C), (0x1E00, 0x1F00), (0x2010, 0x2070), (0x20A0, 0x20C0), (0x2100, 0x2140), (0x2150, 0x2300), (0x2460, 0x2474), (0x2500, 0x2580), (0x25A0, 0x2800), (0x3000, 0x3100), (0x4E00, 0x9FA6), (0xAC00, 0xD7A4), (0xFB00, 0xFB05), (0xFE0F, 0xFE10), (0xFF01, 0xFFEF), (0x1F300, 0x1F700), (0x1F900, 0x1FA00)]
+    blocks = [(0x80, 0x250), (0x2B0, 0x2DD), (0x300, 0x370), (0x370, 0x400), (0x400, 0x460), (0x490, 0x492), (0x531, 0x58B), (0x5D0, 0x5EB), (0x621, 0x64B), (0x6CC, 0x6CD), (0x900, 0xE00), (0xE01, 0xE5C), (0xE80, 0xEE0), (0x10A0, 0x1100), (0x1E00, 0x1F00), (0x2010, 0x2070), (0x20A0, 0x20C0), (0x2100, 0x2140), (0x2150, 0x2300), (0x2460, 0x2474), (0x2500, 0x2580), (0x25A0, 0x2800), (0x3000, 0x3100), (0x4E00, 0x9FA6), (0xAC00, 0xD7A4), (0xFB00, 0xFB05), (0xFE0F, 0xFE10), (0xFF01, 0xFFEF), (0x1F300, 0x1F700), (0x1F900, 0x1FA00)]
     return [chr(c) for a, b in blocks for c in range(a, b)]
 
 
-#: Sequences of nothing but Russian letters can't be told from words.
+#: Sequences of nothing but Russian letters can't be told from words; see _more_than_words().
 CYRILLIC = re.compile("[а-яА-ЯёЁ]+")
 
 
@@ -77,11 +77,9 @@ class Automaton:
             auto, seen = ahocorasick.Automaton(), {}
             for ch in alphabet:
                 data = ch.encode("utf-8")
-                if len(data) == 3 and ch >= "가" and g > 2 or len(data) > 3 and g > 3:
-                    continue
                 for wrong in family:
                     bad = _decode_1(data, wrong)
-                    if bad and bad != ch and "�" not in bad and not (wrong in ("cp866", "koi8-r") and CYRILLIC.fullmatch(bad)):
+                    if bad and bad != ch and "�" not in bad and not (len(bad) < 3 and wrong in ("cp866", "koi8-r") and CYRILLIC.fullmatch(bad)):
                         seen.setdefault(bad, (len(bad), ch, wrong))
             if not g:  # accented Latin letters of the double-byte encodings
                 for ch in "āáǎàēéěèīíǐìōóǒòūúǔùǖǘǚǜüê":
@@ -108,7 +106,6 @@ class Automaton:
 
 
 _auto: list[Automaton] = []
-LATIN_OK = re.compile(r"[A-Za-zÀ-ɏ]")
 #: Runs of characters that single-byte encodings hold beyond ASCII; a sequence has two or more.
 SEQUENCES = re.compile("[" + re.escape("".join(sorted({c for family in SINGLE for w in family for b in range(128, 256) for c in bytes([b]).decode(w, "ignore")} | {chr(c) for c in range(0x80, 0x100)}))) + "]{2,}")
 #: A run as double-byte decoding leaves it: beside the characters, ASCII that swallowed bytes may stand for nothing.
@@ -159,6 +156,14 @@ def _drawing(text: str, b: int, e: int, fixed: str) -> bool:
     return not (fixed.isalpha() and (at_letter or len(fixed) >= 3))
 
 
+def _more_than_words(run: str, hits: list[tuple[int, int, str, str]]) -> bool:
+    """Sequences of nothing but Russian letters count beside one of three characters that holds others, in a case that no word has, or as an emoji's beginning."""
+    words = [h for h in hits if h[3] == "cp866" and CYRILLIC.fullmatch(run[h[0] : h[1]])]
+    if not words or any(h[1] - h[0] == 3 and h not in words for h in hits):
+        return True
+    return all(run.startswith("ЁЯ", h[0]) and h[1] - h[0] == 4 for h in words) or len(words) >= 2 and _odd_case(run[hits[0][0] : hits[-1][1]])
+
+
 def _single_spans(text: str, a: Automaton) -> list[tuple[int, int, str]]:
     """(begin, end, right text) of the accepted spans of single-byte wrong encodings; each run goes to the family that explains most of it."""
     strong: list[tuple[int, int, str]] = []
@@ -178,13 +183,15 @@ def _single_spans(text: str, a: Automaton) -> list[tuple[int, int, str]]:
             else:
                 spans.append([h])
         for s in spans:
+            if not _more_than_words(run, s):
+                continue
             b, e = m.start() + s[0][0], m.start() + s[-1][1]
             fixed = "".join(h[2] for h in s)
             if quoted(text, b, e) or _drawing(text, b, e, fixed):
                 continue
             if len(s) == 1 and _weak(text[b:e], s[0][2], s[0][3], text, b, e):
                 weak.append((b, e, fixed, s[0][3]))
-            elif len(s) == 1 or all(_plain(c) or unicodedata.category(c) in ("Mn", "Cf", "So") or 0x80 <= ord(c) < 0xA0 for c in fixed):
+            elif len(s) == 1 or all(_plain(c) or unicodedata.category(c) in ("Mn", "Mc", "Cf", "So") or 0x80 <= ord(c) < 0xA0 for c in fixed):
                 strong.append((b, e, fixed))
                 sure.update(h[3] for h in s)
     return strong + [(b, e, f) for b, e, f, w in weak if w in sure]
@@ -391,9 +398,8 @@ def repair(text: str) -> tuple[str, int, bool]:
     """The text with garbled spans given back, the number of spans, and whether signs of lost characters remain."""
     a = automaton()
     spans_all = 0
-    for _ in range(ROUNDS):
-        if text.isascii():
-            break
+    seen = {text}
+    while not text.isascii():
         spans: list[tuple[int, int, str]] = []
         taken: list[tuple[int, int]] = []
         for more in (_legacy_spans, lambda t: _single_spans(t, a), lambda t: _double_spans(t, a), _western_spans):
@@ -409,6 +415,9 @@ def repair(text: str) -> tuple[str, int, bool]:
             out += [text[at:b], s]
             at = e
         text = "".join(out) + text[at:]
+        if text in seen:
+            break
+        seen.add(text)
     return text, spans_all, lost_signs(text)
 
 

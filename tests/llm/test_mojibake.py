@@ -53,3 +53,24 @@ def test_frame(spark):
     got = M.find_garbled(df).collect()
     assert sorted(r.doc_id for r in got) == [4, 4, 6] and all(r.restored.endswith("René") for r in got)
     assert M.find_garbled(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("wrong", ["cp1251", "koi8-r", "cp866", "cp1250", "cp1253", "latin-1", "mac_roman", "cp437"])
+@pytest.mark.parametrize("text", ["안녕하세요 세계, 오늘은", "great 🎉 party 🚀", "こんにちは、世界！", "नमस्ते दुनिया", "გამარჯობა მსოფლიო"])
+def test_all_alphabets_of_all_families(wrong, text):
+    bad = M._decode_1(text.encode(), wrong)
+    if bad is None or "\ufffd" in bad:
+        pytest.skip("not every byte has a character")
+    assert M.repair(bad)[0] == text
+
+
+def test_any_number_of_rounds():
+    text = bad = "naïve café, déjà vu"
+    for _ in range(5):
+        bad = M._decode_1(bad.encode(), "cp1252")
+    assert M.repair(bad)[0] == text
+
+
+def test_russian_words_stay():
+    for text in ("что такое синхронизация потоков", "ЯзЫк", "рАб и рАбота", "хДе эАп"):
+        assert M.repair(text) == (text, 0, False)
