@@ -31,6 +31,11 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_kinds(spark, sf_dir).select("review_id", "file_seq").distinct()
 
 
+def p2_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Precision and recall of the classifiers on repositories held out."""
+    return handwritten.validation(table(spark, sf_dir, "code_files"), table(spark, sf_dir, "review_tasks"), table(spark, sf_dir, "known_libs"))
+
+
 def _credential_sources(spark: SparkSession, sf_dir: str) -> list[tuple[str, DataFrame]]:
     files, results = table(spark, sf_dir, "code_files"), table(spark, sf_dir, "agent_results")
     return [
@@ -114,7 +119,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [p1_found, p1_pieces, p2_found, p2_kinds, p3_found, p3_redacted, p4_found, p4_groups, p5_found, p5_failures, p5_rates, p6_found, p7_ids, p8_mix, p8_shares, p8_corpus_shares, p9_found, p9_repaired]
+    own = [p1_found, p1_pieces, p2_found, p2_kinds, p2_validation, p3_found, p3_redacted, p4_found, p4_groups, p5_found, p5_failures, p5_rates, p6_found, p7_ids, p8_mix, p8_shares, p8_corpus_shares, p9_found, p9_repaired]
     return {f.__name__: f for f in own}
 
 
