@@ -63,12 +63,12 @@ def cut(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int
             return pieces
         least = max(fresh + 1, begin + limit // 2)
         end = 0
-        for at in kinds[:3]:
+        for at in kinds[:5]:
             i = bisect_right(at, most) - 1
             if i >= 0 and at[i] >= least:
                 end = at[i]
                 break
-        if not end:  # any line end rather than a cut within a line
+        if not end:  # no boundary in the upper half
             for at in kinds[2:]:
                 i = bisect_right(at, most) - 1
                 if i >= 0 and at[i] > fresh and at[i] > begin + overlap:

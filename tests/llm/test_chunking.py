@@ -59,3 +59,9 @@ def test_frame(spark):
     every = C.split_oversized(df, ["review_id", "file_seq"], only_oversized=False)
     assert {r.review_id for r in every.collect()} == {"a", "c", "d", "e"}
     assert C.split_oversized(df.limit(0), ["review_id", "file_seq"]).count() == 0
+
+
+def test_statements_of_long_lines_end_pieces():
+    text = "".join("x" * 699 + "\n" + "ab = 1; " * 980 + "\n" for _ in range(4))
+    pieces = C.cut(text, 8000, 400)
+    assert len(pieces) == 5 and all(text[e - 1] in "\n; " for _, _, e in pieces)
