@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlake.operators.text import exploded
@@ -31,6 +31,19 @@ def linted(deps: DataFrame, keep: list[str]) -> DataFrame:
     return one.unionByName(twice)
 
 
+def repeated(deps: DataFrame, keep: list[str]) -> DataFrame:
+    """(*keep, name, line_no, occurrence, first_line): the second and later entries of a name, whatever its case."""
+    w = Window.partitionBy(*keep, "name").orderBy("line_no")
+    x = deps.select(*keep, F.lower("name").alias("name"), "line_no")
+    return x.withColumns({"occurrence": F.row_number().over(w), "first_line": F.min("line_no").over(w)}).where("occurrence > 1")
+
+
+def broken_manifests(files: DataFrame, keep: list[str]) -> DataFrame:
+    """(*keep, line_no, category, severity): package.json files that are no JSON."""
+    bad = files.where(F.col("path").rlike(r"(^|[/\\])package\.json$") & (F.length("content") > 0) & F.expr("try_parse_json(content) is null"))
+    return bad.select(*keep, F.lit(1).alias("line_no"), F.lit("invalid_json").alias("category"), F.lit("high").alias("severity"))
+
+
 def too_indirect(files: DataFrame, keep: list[str], most: int = 20) -> DataFrame:
     """go.mod files with more than ``most`` indirect requirements."""
     n = F.size(F.split("content", "// indirect")) - 1

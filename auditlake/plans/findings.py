@@ -214,11 +214,19 @@ def signal_files_semi(spark, d):
     return O.top_per(f, ["review_id"], [F.col("file_seq")], 5).select("review_id", "file_seq", "path", "pos").transform(long("pos"))
 
 
-@query("SELECT f.arrival_seq, count(*) AS n_files FROM f JOIN (SELECT DISTINCT review_id, path, regexp_extract(path, '([^/\\\\]+?)(\\.[^./\\\\]+)?$', 1) AS stem FROM code_files WHERE path IS NOT NULL) c ON f.review_id = c.review_id WHERE f.category IN ('cyclic_dependency', 'layer_violation', 'tight_coupling') AND length(c.stem) > 3 AND (contains(f.description, c.path) OR contains(f.description, c.stem)) GROUP BY 1", F_)
+@query("SELECT arrival_seq, path, row_number() OVER (PARTITION BY arrival_seq ORDER BY path) AS pos FROM (SELECT f.arrival_seq, c.path FROM f JOIN (SELECT DISTINCT review_id, path, regexp_extract(path, '([^/\\\\]+?)(\\.[^./\\\\]+)?$', 1) AS stem FROM code_files WHERE path IS NOT NULL) c ON f.review_id = c.review_id WHERE f.category IN ('cyclic_dependency', 'layer_violation', 'tight_coupling') AND length(c.stem) > 3 AND (contains(f.description, c.path) OR contains(f.description, c.stem))) QUALIFY pos <= 5", F_)
 def cycle_files(spark, d):
+    """The first five files that the text of a finding on the graph names."""
     f = findings(spark, d, "review_id", "category", "description").where("category in ('cyclic_dependency', 'layer_violation', 'tight_coupling')")
     c = table(spark, d, "code_files").where("path is not null").select("review_id", "path", F.regexp_extract("path", r"([^/\\]+?)(\.[^./\\]+)?$", 1).alias("stem")).distinct().where("length(stem) > 3")
-    return f.join(c, "review_id").where(F.col("description").contains(F.col("path")) | F.col("description").contains(F.col("stem"))).groupBy("arrival_seq").agg(F.count("*").alias("n_files"))
+    met = f.join(c, "review_id").where(F.col("description").contains(F.col("path")) | F.col("description").contains(F.col("stem"))).select("arrival_seq", "path")
+    return O.top_per(met, ["arrival_seq"], [F.col("path")], 5).transform(long("pos"))
+
+
+@query("SELECT skill_name, severity, count(*) AS n FROM (SELECT skill_name, coalesce(lower(severity), 'info') AS severity FROM f WHERE skill_name IS NOT NULL) GROUP BY 1, 2", F_)
+def skill_severity(spark, d):
+    f = findings(spark, d, "skill_name", "severity").where("skill_name is not null")
+    return f.groupBy("skill_name", F.coalesce(F.lower("severity"), F.lit("info")).alias("severity")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT user_id, event_type, max_by(value, event_id) AS value FROM events GROUP BY 1, 2")

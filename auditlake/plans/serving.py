@@ -123,6 +123,11 @@ def rules_filter(spark, d):
     return knowledge(spark, d, "knowledge_type", "category", "language").where("knowledge_type = 'rule' and category = 'sql_injection' and language = 'python'").select("id", "category", "language")
 
 
+@query("SELECT id, category, language FROM k WHERE knowledge_type = 'pattern' AND category = 'sql_injection' AND language = 'python'", K_)
+def patterns_filter(spark, d):
+    return knowledge(spark, d, "knowledge_type", "category", "language").where("knowledge_type = 'pattern' and category = 'sql_injection' and language = 'python'").select("id", "category", "language")
+
+
 @query("SELECT id, 'rules' AS part FROM k WHERE knowledge_type = 'rule' UNION ALL SELECT id, 'patterns' FROM k WHERE knowledge_type = 'pattern' UNION ALL SELECT id, 'practices' FROM k WHERE knowledge_type = 'best_practice'", K_)
 def knowledge_union(spark, d):
     k = knowledge(spark, d, "knowledge_type")

@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from auditlake.functions import scalars as S
+from auditlake.operators import dependencies as D
 from auditlake.operators import findings as O
 from auditlake.operators import graph as G
 from auditlake.operators import text as X
@@ -160,11 +161,17 @@ def java_imports_extract(spark, d):
     return X.java_imports(_sources(spark, d), _KEY)
 
 
-@query("SELECT review_id, file_seq, imported, n, occurrence FROM (SELECT review_id, file_seq, imported, count(*) OVER (PARTITION BY review_id, file_seq, lower(imported)) AS n, 2 AS occurrence FROM im) WHERE n > 1 GROUP BY ALL", C_, _MODULES, _PY)
+#: Manifests beside those of the tables, which hold none.
+_MANIFESTS = [("fixture", 1, "requirements.txt", "requests==2.31.0\nflask>=2.0\n# requests\nRequests\nflask~=3.0  # again\nrequests\n"), ("fixture", 2, "svc/requirements-dev.txt", "pytest==8.0\nblack\n"), ("fixture", 3, "requirements.txt", "numpy\nNumPy==2.0\n")]
+_DEPS = "mf AS (SELECT review_id, file_seq, path, content FROM c UNION ALL VALUES " + ", ".join(f"({q_(r)}, {n}, {q_(p)}, {q_(t)})" for r, n, p, t in _MANIFESTS) + "), ml AS (SELECT review_id, file_seq, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS line_no FROM mf WHERE regexp_matches(path, '(^|[/\\\\])requirements[^/\\\\]*\\.txt$')), dp AS (SELECT review_id, file_seq, CAST(line_no AS BIGINT) AS line_no, lower(regexp_extract(trim(regexp_replace(line, '\\s*(#|//).*$', '')), '^([A-Za-z0-9][A-Za-z0-9._-]*)', 1)) AS name FROM ml)"
+
+
+@query("SELECT * FROM (SELECT review_id, file_seq, name, line_no, row_number() OVER w AS occurrence, min(line_no) OVER w AS first_line FROM dp WHERE name <> '' WINDOW w AS (PARTITION BY review_id, file_seq, name ORDER BY line_no)) WHERE occurrence > 1", C_, _DEPS)
 def dup_dependency(spark, d):
-    i = imports_extract(spark, d)
-    n = i.groupBy(*_KEY, F.lower("imported").alias("low")).agg(F.count("*").alias("n"), F.collect_set("imported").alias("names")).where("n > 1")
-    return n.select(*_KEY, F.explode("names").alias("imported"), "n", F.lit(2).alias("occurrence"))
+    """The second and later entries of a name in a manifest, with the line of the first."""
+    known = files(spark, d, "path", "content").select(*_KEY, "path", "content")
+    fixed = spark.createDataFrame(_MANIFESTS, "review_id string, file_seq int, path string, content string")
+    return D.repeated(D.parsed(known.unionByName(fixed), _KEY).where("ecosystem = 'PyPI'"), _KEY).transform(long("line_no", "occurrence", "first_line"))
 
 
 _EXTERNAL = "ex(lang, top) AS (VALUES " + ", ".join(f"({q_(lang)}, {q_(x)})" for lang, names in G.EXTERNAL.items() for x in names) + ")"

@@ -162,3 +162,10 @@ def test_boundary_chunks(spark):
     assert O.cut_at_definitions("def (", 5) == [(1, 1, 1)]
     df = spark.createDataFrame([(1, "a.py", text), (2, "b.go", "x\ny"), (3, "c.py", None)], FILE)
     assert {r.id for r in O.boundary_chunks(df, ["id"]).collect()} == {1, 2}
+
+
+def test_repeated_and_broken_manifests(spark):
+    df = spark.createDataFrame([(1, "requirements.txt", "a==1\nB\nA\nb>2\na"), (2, "x/package.json", "{oops"), (3, "package.json", '{"dependencies": {}}'), (4, "package.json", ""), (5, None, "{")], FILE)
+    got = {(r.id, r.name, r.line_no, r.occurrence, r.first_line) for r in D.repeated(D.parsed(df, ["id"]), ["id"]).collect()}
+    assert got == {(1, "a", 3, 2, 1), (1, "b", 4, 2, 2), (1, "a", 5, 3, 1)}
+    assert {(r.id, r.category) for r in D.broken_manifests(df, ["id"]).collect()} == {(2, "invalid_json")}
