@@ -58,7 +58,7 @@ ORIGIN = re.compile(r"(?:https?://|git@)([\w.-]+[/:][\w.-]+/[\w.-]+)")
 ATTRIBUTED = re.compile(r"(?i)taken from|@package|@homepage|part of [\w.-]+ |copied from|vendored|originally from|imported from|\bv?\d+\.\d+\.\d+\b|upstream|adapted from|source:")
 THIRD_PARTY = {"node_modules", "bower_components", "vendor", "third_party", "thirdparty", "third-party", "_vendor", "site-packages", "godeps", "external", "externals", "jspm_packages", "deps"}
 COMMENT = ("#", "//", "/*", "*", "<!--", "--", ";")
-LITERAL = re.compile(r"[A-Za-z0-9+/=]{60,}|(?:0x[0-9A-Fa-f]+|-?\d+(?:\.\d+)?)(?:\s*,\s*(?:0x[0-9A-Fa-f]+|-?\d+(?:\.\d+)?)){7,}")
+LITERAL = re.compile(r"[A-Za-z0-9+/=]{60,}+|(?:0x[0-9A-Fa-f]++|-?\d++(?:\.\d++)?+)(?:\s*+,\s*+(?:0x[0-9A-Fa-f]++|-?\d++(?:\.\d++)?+)){7,}+")
 #: Words that code holds and data doesn't.
 CODE_WORD = re.compile(r"\b(?:def|class|return|import|from|function|func|if|else|for|while|public|private|void|interface|package|new|try|await)\b|=>|\(\w*\)")
 DIGITS = bytes.maketrans(b"123456789", b"000000000")
@@ -84,9 +84,8 @@ def canonical_text(url: str) -> str:
     return re.sub(r"[.,;]+$", "", "/".join(parts)).removesuffix(".git")
 
 
-def head_and_body(text: str) -> tuple[str, str]:
-    """The leading comment block, and the rest."""
-    lines = text.split("\n")
+def head_length(lines: list[str]) -> int:
+    """How many lines the leading comment block has."""
     i, block = 0, False
     while i < len(lines):
         s = lines[i].strip()
@@ -99,15 +98,22 @@ def head_and_body(text: str) -> tuple[str, str]:
         elif s and not s.startswith(("#", "//", "*", "<!--", "-->")):
             break
         i += 1
+    return i
+
+
+def head_and_body(text: str) -> tuple[str, str]:
+    """The leading comment block, and the rest."""
+    lines = text.split("\n")
+    i = head_length(lines)
     return "\n".join(lines[:i]), "\n".join(lines[i:])
 
 
 def line_hashes(lines: list[str]) -> list[int]:
-    return [xxhash.xxh3_64_intdigest(x) for x in lines]
+    return list(map(xxhash.xxh3_64_intdigest, lines))
 
 
-def body_lines(text: str) -> list[str]:
-    return [s for x in text.split("\n") if len(s := x.strip()) > 8 and not s.startswith(COMMENT)]
+def body_lines(lines: list[str]) -> list[str]:
+    return [s for x in lines if len(s := x.strip()) > 8 and not s.startswith(COMMENT)]
 
 
 @dataclass
@@ -130,26 +136,33 @@ class Libraries:
             out.homes.append(canonical_text(home))
             if name:
                 out.names[name.lower()] = out.homes[i]
-            for h in set(line_hashes(body_lines(content or ""))):
+            for h in set(line_hashes(body_lines((content or "").split("\n")))):
                 out.lines.setdefault(h, []).append(i)
         return out
 
-    def overlap(self, lines: list[str]) -> tuple[float, int, str | None]:
-        """The largest share of the lines that one library file holds, how many these are, and its home; lines that any code may hold don't count."""
-        own = [h for h in line_hashes(lines) if h not in self.common]
+    @cached_property
+    def telling(self) -> frozenset[int]:
+        """The lines that say something of an origin."""
+        return frozenset(self.lines.keys() - self.common)
+
+    def overlap(self, hashes: list[int]) -> tuple[float, int, str | None]:
+        """The largest share of the lines (hashes) that one library file holds, how many these are, and its home; lines that any code may hold don't count."""
+        if self.telling.isdisjoint(hashes):
+            return 0.0, 0, None
+        own = [h for h in hashes if h not in self.common]
         n: dict[int, int] = {}
         for h in own:
             for i in self.lines.get(h, ()):
                 n[i] = n.get(i, 0) + 1
-        if not n:
-            return 0.0, 0, None
         best = max(n, key=lambda i: (n[i], -i))
         return n[best] / len(own), n[best], self.homes[best]
 
     def unexplained(self, text: str) -> set[int]:
         """The library lines in a text that no library file explains by half."""
-        lines = body_lines(head_and_body(text)[1])
-        return set(line_hashes(lines)) & self.lines.keys() if self.overlap(lines)[0] < 0.5 else set()
+        lines = text.split("\n")
+        hashes = line_hashes(body_lines(lines[head_length(lines) :]))
+        held = self.lines.keys() & hashes
+        return held if held and self.overlap(hashes)[0] < 0.5 else set()
 
 
 @dataclass
@@ -186,11 +199,13 @@ def data_only(body: str, literal: int) -> bool:
 
 def look(path: str, text: str, libs: Libraries) -> Seen:
     """The masked body, and the evidence beside it."""
-    head, body = head_and_body(text)
-    notice = bool(NOTICE.search(head)) and not NOT_NOTICE.search(head)
-    lines = body_lines(body)
-    share, shared, home = libs.overlap(lines)
-    parts = [x.lower() for x in re.split(r"[\\/]+", path) if x not in ("", ".")]
+    all_lines = text.split("\n")
+    i = head_length(all_lines)
+    head, body = ("\n".join(all_lines[:i]), "\n".join(all_lines[i:])) if i else ("", text)
+    all_lines = all_lines[i:] or [""]
+    notice = bool(head and NOTICE.search(head)) and not NOT_NOTICE.search(head)
+    share, shared, home = libs.overlap(line_hashes(body_lines(all_lines)))
+    parts = [x for x in path.lower().replace("\\", "/").split("/") if x not in ("", ".")]
     folders = set(parts[:-1])
     third = bool(folders & THIRD_PARTY)
     origin = None
@@ -204,11 +219,9 @@ def look(path: str, text: str, libs: Libraries) -> Seen:
                 origin = lib
                 break
     n = max(1, len(body))
-    all_lines = body.split("\n")
     longest = max(map(len, all_lines))
     raw = body.encode("utf-8", "replace")
-    counts = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
-    blanks, digits = int(counts[list(b" \n\t\r")].sum()), int(counts[48:58].sum())
+    blanks, digits = (len(raw) - len(raw.translate(None, x)) for x in (b" \n\t\r", b"0123456789"))
     literal = literal_length(body, raw)
     data = data_only(body, literal)
     shape = [
@@ -228,6 +241,11 @@ def look(path: str, text: str, libs: Libraries) -> Seen:
 
 SHAPE_DIMS = 90
 WIDTH = DIMS + PATH_DIMS + SHAPE_DIMS
+BETWEEN_WORDS = re.compile(r"[_\-.\d]+")
+#: Values of the columns of a path and of a shape.
+PATH_VALUES = np.array([0.25, 0.35], np.float32)
+# Factors of the n-grams' hashes (four bytes, six, the last two of six), and the shifts and offset of their columns.
+MIX = tuple(map(np.uint32, (0x9E3779B1, 0xC2B2AE35, 0x85EBCA6B, 16, 19, DIMS // 2)))
 
 
 @lru_cache(1 << 14)
@@ -240,24 +258,32 @@ def path_column(name: str) -> int:
 
 def features(path: str, seen: Seen) -> tuple[np.ndarray, np.ndarray]:
     """n-grams by square-rooted share (a unit vector), path components, shape: the columns that aren't zero, and their values."""
-    columns, values = np.empty(0, np.intp), np.empty(0, np.float32)
-    c = np.frombuffer(seen.raw.translate(DIGITS), np.uint8)
-    if len(c) >= 6:
-        w = c.astype(np.uint32)
-        four = w[:-3] | (w[1:-2] << np.uint32(8)) | (w[2:-1] << np.uint32(16)) | (w[3:] << np.uint32(24))
-        six = four[:-2] ^ ((four[2:] >> np.uint32(16)) * np.uint32(0x85EBCA6B))
-        both = np.concatenate([(four * np.uint32(0x9E3779B1)) >> np.uint32(19), np.uint32(DIMS // 2) + ((six * np.uint32(0xC2B2AE35)) >> np.uint32(19))])
-        both = np.sort(both.astype(np.uint16))  # faster than a count of all columns
-        ends = np.append(np.flatnonzero(both[1:] != both[:-1]) + 1, len(both))
-        columns = both[ends - 1].astype(np.intp)
-        values = np.sqrt(np.diff(ends, prepend=0) / len(both)).astype(np.float32)
-    parts = [p for p in re.split(r"[\\/]+", path.lower()) if p not in ("", ".")]
+    columns, values = np.empty(0, np.uint16), np.empty(0, np.float32)
+    raw = seen.raw.translate(DIGITS)
+    if (n := len(raw) - 3) >= 3:
+        four = np.ndarray((n,), "<u4", raw, 0, (1,)).copy()  # the four bytes from each one on
+        both = np.empty(2 * n - 2, np.uint32)
+        six = both[n:]
+        np.multiply(four, MIX[0], out=both[:n])
+        np.right_shift(four[2:], MIX[3], out=six)
+        six *= MIX[2]
+        six ^= four[:-2]
+        six *= MIX[1]
+        both >>= MIX[4]
+        six += MIX[5]
+        both = np.sort(both.astype(np.uint16), kind="stable")  # by radix, whatever the processor
+        last = np.append(np.flatnonzero(both[1:] != both[:-1]), len(both) - 1)
+        columns = both.take(last)
+        counts = last.copy()
+        counts[0] += 1
+        counts[1:] -= last[:-1]
+        values = np.sqrt(counts / len(both)).astype(np.float32)
+    parts = [p for p in path.lower().replace("\\", "/").split("/") if p not in ("", ".")]
     names = [f"/{p}" for p in parts[:-1]] + ([f".{parts[-1].split('.', 1)[-1]}"] if parts else [])
-    names += [f"_{w}" for w in re.split(r"[_\-.\d]+", parts[-1]) if w][-2:] if parts else []
-    of_path = set(map(path_column, names))
-    of_shape = {DIMS + PATH_DIMS + x for x in seen.shape}
-    more = np.array(sorted(of_path) + sorted(of_shape), np.intp)
-    return np.concatenate([columns, more]), np.concatenate([values, np.array([0.25] * len(of_path) + [0.35] * len(of_shape), np.float32)])
+    names += [f"_{w}" for w in BETWEEN_WORDS.split(parts[-1]) if w][-2:] if parts else []
+    of_path = sorted(set(map(path_column, names)))
+    more = np.array(of_path + [DIMS + PATH_DIMS + x for x in seen.shape], np.uint16)
+    return np.concatenate([columns, more]), np.concatenate([values, PATH_VALUES.repeat([len(of_path), len(seen.shape)])])
 
 
 def labels(seen: Seen, path: str) -> np.ndarray:
@@ -282,7 +308,7 @@ class Model:
         return self.validate()
 
     def scores(self, columns: np.ndarray, values: np.ndarray) -> np.ndarray:
-        return values @ self.weights.take(columns, 0) + self.bias
+        return values.dot(self.weights.take(columns, 0, mode="clip")) + self.bias
 
 
 @dataclass
@@ -300,7 +326,7 @@ class Examples:
         for i, (path, text) in enumerate(rows):
             seen = look(path, text, libs)
             columns, values = features(path, seen)
-            out.columns.append(columns.astype(np.uint16))
+            out.columns.append(columns)
             out.values.append(values)
             out.labels[i] = labels(seen, path)
         return out
@@ -312,6 +338,7 @@ def train_svm(examples: Examples, epochs: int, seed: int = SEED) -> tuple[np.nda
     y = examples.labels
     n, k = y.shape
     w, b = np.zeros((WIDTH, k), np.float32), np.zeros(k, np.float32)
+    flat = w.reshape(-1)
     mean_w, mean_b, m = np.zeros_like(w), np.zeros_like(b), 0
     sign = np.where(y, 1.0, -1.0).astype(np.float32)
     positive = y.sum(0)
@@ -323,11 +350,11 @@ def train_svm(examples: Examples, epochs: int, seed: int = SEED) -> tuple[np.nda
             i = order[s : s + size]
             t += 1
             rate = min(0.5, 1.0 / (lam * (t + 20)))
-            score = np.stack([examples.values[j] @ w.take(examples.columns[j], 0) for j in i]) + b
+            score = np.array([examples.values[j].dot(w.take(examples.columns[j], 0, mode="clip")) for j in i.tolist()]) + b
             miss = (sign[i] * score < 1) * sign[i] * cost[i]
             w *= 1 - rate * lam
             for r, kind in zip(*np.nonzero(miss)):  # few after the first rounds
-                w[examples.columns[i[r]], kind] += rate / len(i) * miss[r, kind] * examples.values[i[r]]
+                flat[examples.columns[i[r]].astype(np.intp) * k + kind] += rate / len(i) * miss[r, kind] * examples.values[i[r]]
             b += 0.1 * rate * miss.mean(0)
             if epoch >= epochs // 2:
                 mean_w += w
